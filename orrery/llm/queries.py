@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import canonical, entities, markup
+from orrery.llm import canonical, entities, markup, neighbours, sentences, splitting
 from orrery.plans.runtime import table
 
 
@@ -50,13 +50,52 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         "claim_id", F.col("entry").alias("canon_field"))
 
 
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all passages with their offsets."""
+    return splitting.split_texts(table(spark, sf_dir, "records"), "row_id", "text", keep=("rid",))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that come out in more than one piece."""
+    pieces = splitting.split_texts(table(spark, sf_dir, "records"), "row_id", "text", with_text=False, keep=("rid",))
+    return pieces.where("rid is not null and end_pos - start_pos < total").select("rid").distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of cosine 0.90 or more among the ten most similar rows of either."""
+    return neighbours.similar_pairs(table(spark, sf_dir, "records"), "row_id", "embedding").select("row_id_a", "row_id_b")
+
+
+def p6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar rows of every row whose id is divisible by 100."""
+    records = table(spark, sf_dir, "records")
+    return neighbours.search(records, "row_id", "embedding", records.where("row_id % 100 = 0").select("row_id"))
+
+
+def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All units of all documents with text and position."""
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_starts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
     "p2_found": p2_found,
     "p2_match": p2_match,
+    "p4_found": p4_found,
+    "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_mapping": p5_mapping,
+    "p6_found": p6_found,
+    "p6_search": p6_search,
+    "p10_found": p10_found,
+    "p10_sentences": p10_sentences,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p4_found": "SELECT DISTINCT rid FROM records WHERE rid IS NOT NULL AND length(text) > 900",
+}
