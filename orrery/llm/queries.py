@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import canonical, entities, markup, neighbours, sentences, splitting
-from orrery.plans.runtime import table
+from orrery.llm import canonical, entities, markup, mixing, neighbours, packing, sentences, splitting, tokens
+from orrery.plans.runtime import Scratch, table
 
 
 def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,29 @@ def p6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(records, "row_id", "embedding", records.where("row_id % 100 = 0").select("row_id"))
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document or part of a document."""
+    sizes = tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(sizes, "doc_id", "n_tokens")
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.report(Scratch(spark, "packed").put(p8_pack(spark, sf_dir)))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schedule of documents that brings each source to its share."""
+    sizes = tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source",))
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares by source."""
+    sizes = tokens.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", keep=("source",))
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All units of all documents with text and position."""
     return sentences.sentences(table(spark, sf_dir, "documents"))
@@ -92,6 +115,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_mapping": p5_mapping,
     "p6_found": p6_found,
     "p6_search": p6_search,
+    "p8_pack": p8_pack,
+    "p8_report": p8_report,
+    "p9_mix": p9_mix,
+    "p9_report": p9_report,
     "p10_found": p10_found,
     "p10_sentences": p10_sentences,
 }
