@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.plans import preparation
+from orrery.plans import core_queries, preparation
 
-_MODULES = [preparation]
+_MODULES = [preparation, core_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preparation.p3_units(spark, sf_dir)
+    return core_queries.hybrid_retrieve(spark, sf_dir)
