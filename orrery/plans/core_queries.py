@@ -165,10 +165,8 @@ def record_peers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ungrouped(column: str) -> str:
-    """SQL that removes thousands commas; RE2 has no look-around, so each pass removes every other comma."""
-    for _ in range(4):
-        column = f"regexp_replace({column}, '(\\d),(\\d{{3}})(\\D|$)', '\\1\\2\\3', 'g')"
-    return column
+    """SQL that removes thousands commas of whole numbers; RE2 has no look-around."""
+    return f"CASE WHEN regexp_full_match({column}, '[+-]?\\d+(,\\d{{3}})+(\\.\\d*)?') THEN replace({column}, ',', '') ELSE {column} END"
 
 
 # --- values ---------------------------------------------------------------------------------------
