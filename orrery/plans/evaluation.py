@@ -77,11 +77,16 @@ def score_filter(expected: dict, got: dict) -> FilterScore:
 
 
 def answer_hit(expected: list[str], reply: str) -> bool:
-    """Every expected text stands in the reply, by text or by its numbers without thousands commas."""
+    """Every expected text stands in the reply, by text or by its numbers without thousands commas; a bare number must stand there whole."""
     plain = lambda s: re.sub(r"(?<=\d),(?=\d{3})", "", s.lower())
     low = plain(reply)
     numbers = set(re.findall(r"\d+(?:\.\d+)?", low))
-    return all(plain(e) in low or (bool(n := re.findall(r"\d+(?:\.\d+)?", plain(e))) and set(n) <= numbers) for e in expected)
+    def found(e: str) -> bool:
+        own = re.findall(r"\d+(?:\.\d+)?", e)
+        bare = re.fullmatch(r"[-+\s\d.]+", e) is not None
+        return (not bare and e in low) or (bool(own) and set(own) <= numbers)
+
+    return all(found(plain(e)) for e in expected)
 
 
 def is_refusal(reply: str) -> bool:

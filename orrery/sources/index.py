@@ -36,7 +36,7 @@ def read_records(spark: SparkSession, source: str, skip: str = "schema-example|_
     glob = f"{source.rstrip('/')}/*.json" if fs.getFileStatus(path).isDirectory() else source
     if not fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(glob)):
         raise CatalogueError(f"no JSON files in {source}")
-    raw = spark.read.text(glob, wholetext=True).withColumn("file", F.input_file_name()).where(~F.col("file").rlike(skip))
+    raw = spark.read.text(glob, wholetext=True).withColumn("file", F.input_file_name()).where(~F.element_at(F.split("file", "/"), -1).rlike(skip))
     return records.canonical(raw, "value", "file")
 
 
