@@ -45,6 +45,8 @@ _MAKER = re.compile(r"\b(?:made|built|produced|manufactured) by\s+(.{2,40}?)(?=\
 _ORIGIN = re.compile(r"\b(?:designed|developed|built|made|produced) in\s+([A-Z][a-z]+(?: [A-Z][a-z]+)*)")
 _FAMILY_TITLE = re.compile(r"^family:\s*|\s+(?:family|programme|program|series)$|\s*\((?:all )?variants?\)$", re.I)
 _WORD = re.compile(r"[a-z]+")
+#: Letters of the longest word that may be two names written together.
+LONGEST_GLUED = 40
 
 
 def _number(text: str) -> int | None:
@@ -98,13 +100,13 @@ def parse_mention(text: str | None) -> dict:
         words = _WORD.findall(run)
         names += list(zip(words, words[1:]))
         for w in words:
-            if len(w) >= 9:
+            if 9 <= len(w) <= LONGEST_GLUED:
                 names += [(w[:k], w[k:]) for k in range(4, len(w) - 3)]
     glued = re.findall(r"[A-Z][a-z]+(?=[A-Z][a-z])", cased)
     if glued:
         parts = re.findall(r"[A-Z][a-z]+", cased)
         names += [(a.lower(), b.lower()) for a, b in zip(parts, parts[1:])]
-    out["names"] = list(dict.fromkeys(f"{a} {b}" for a, b in names if len(a) > 2 and len(b) > 2))
+    out["names"] = list(dict.fromkeys(f"{a} {b}" for a, b in names if 2 < len(a) <= LONGEST_GLUED and 2 < len(b) <= LONGEST_GLUED))
     return out
 
 
@@ -188,7 +190,10 @@ def neighbourhood(names: DataFrame, families: DataFrame, scratch: Scratch, windo
     partitioning by key; per partition only its first and last ``window`` families of each order go
     to the driver and back, so the window crosses borders without a second sort.
     """
-    keyed = F.udf(sort_keys, "array<string>")
+    @F.pandas_udf("array<string>")
+    def keyed(names: pd.Series) -> pd.Series:
+        return names.map(sort_keys)
+
     left = names.select("name", F.explode(keyed("name")).alias("key"), F.lit(False).alias("ref"))
     right = families.select(F.col("family").alias("name"), F.explode(keyed("family")).alias("key"), F.lit(True).alias("ref"))
     n = parallelism(scratch.spark)
