@@ -44,13 +44,19 @@ def record_level(fields: DataFrame) -> DataFrame:
         F.max(V.parse_date(F.col("str")).isNotNull().cast("int")).alias("dated"))
 
 
-def classify(fields: DataFrame, lov: DataFrame | None = None) -> DataFrame:
+def _quantile(column: str, p: float, exact: bool):
+    return V.round4(F.percentile(column, F.lit(p)) if exact else F.percentile_approx(column, F.lit(p), F.lit(10_000)).cast("double"))
+
+
+def classify(fields: DataFrame, lov: DataFrame | None = None, exact: bool = True) -> DataFrame:
     """One row per field: field, type, count, unit-free statistics, distinct, admin, partial, multi, intervals.
 
     A field is numeric if all values of at least half of its records are numbers; else multi_value if
     a record has several; else a date under the same majority; else categorical if its texts are short
     and few, otherwise free_text, or unknown without texts. ``lov`` (field) forces categorical.
-    Intervals enter the statistics with both ends. Exact percentiles interpolate linearly.
+    Intervals enter the statistics with both ends. Exact percentiles interpolate linearly; they count the
+    distinct values of a field in one reducer, so for fields of very many distinct values ``exact=False``
+    takes the mergeable sketch instead.
     """
     by_record = record_level(fields).groupBy("field").agg(
         F.count("*").alias("count"), F.sum("numeric").alias("n_numeric"), F.max("listed").alias("any_list"),
@@ -58,8 +64,8 @@ def classify(fields: DataFrame, lov: DataFrame | None = None) -> DataFrame:
     points = fields.where("lo is not null and kind <> 'bool'").select(
         "field", F.explode(F.when(F.col("kind") == "interval", F.array("lo", "hi")).otherwise(F.array("lo"))).alias("v"))
     stats = points.groupBy("field").agg(
-        F.min("v").alias("min"), V.round4(F.percentile("v", F.lit(0.05))).alias("p5"), V.round4(F.percentile("v", F.lit(0.5))).alias("median"),
-        V.round4(F.percentile("v", F.lit(0.95))).alias("p95"), F.max("v").alias("max"))
+        F.min("v").alias("min"), _quantile("v", 0.05, exact).alias("p5"), _quantile("v", 0.5, exact).alias("median"),
+        _quantile("v", 0.95, exact).alias("p95"), F.max("v").alias("max"))
     texts = fields.where("kind = 'string' and str is not null").groupBy("field").agg(
         F.count_distinct("str").alias("n_distinct"), F.avg(F.length("str")).alias("avg_length"), F.count("*").alias("n_text"))
     joined = by_record.join(stats, "field", "left").join(texts, "field", "left")
@@ -100,7 +106,7 @@ def partition_fields(catalogue: DataFrame, min_count: int = 1, max_cardinality:
     ).orderBy(F.desc("count"), "n_distinct", "field").limit(limit).select("field", "type", "count", "n_distinct")
 
 
-def category_stats(fields: DataFrame, catalogue: DataFrame, category: str, min_count: int = 2) -> DataFrame:
+def category_stats(fields: DataFrame, catalogue: DataFrame, category: str, min_count: int = 2, exact: bool = True) -> DataFrame:
     """(category, field, count, min, p5, median, p95, max) of numeric fields within each value of a category field.
 
     Records with several categories are left out; groups of fewer than ``min_count`` points too.
@@ -111,8 +117,8 @@ def category_stats(fields: DataFrame, catalogue: DataFrame, category: str, min_c
     points = fields.where("lo is not null and kind <> 'bool'").join(broadcast_if_small(numeric), "field", "left_semi").select(
         "rid", "field", F.explode(F.when(F.col("kind") == "interval", F.array("lo", "hi")).otherwise(F.array("lo"))).alias("v"))
     return points.join(labels, "rid").groupBy("category", "field").agg(
-        F.count("*").alias("count"), F.min("v").alias("min"), V.round4(F.percentile("v", F.lit(0.05))).alias("p5"),
-        V.round4(F.percentile("v", F.lit(0.5))).alias("median"), V.round4(F.percentile("v", F.lit(0.95))).alias("p95"), F.max("v").alias("max")
+        F.count("*").alias("count"), F.min("v").alias("min"), _quantile("v", 0.05, exact).alias("p5"),
+        _quantile("v", 0.5, exact).alias("median"), _quantile("v", 0.95, exact).alias("p95"), F.max("v").alias("max")
     ).where(F.col("count") >= min_count)
 
 

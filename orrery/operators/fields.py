@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import values as V
 
-SCHEMA = "rid string, field string, seq int, num double, lo double, hi double, str string, kind string, unit string"
+SCHEMA = "rid string, field string, seq long, num double, lo double, hi double, str string, kind string, unit string"
 
 
 def from_columns(df: DataFrame, rid: str, columns: list[str]) -> DataFrame:
@@ -32,7 +32,7 @@ def from_columns(df: DataFrame, rid: str, columns: list[str]) -> DataFrame:
             F.lit("number" if number else "bool" if kind == "boolean" else "string").alias("kind")))
     long = df.select(F.col(rid).cast("string").alias("rid"), F.explode(F.array(*cells)).alias("c")).select("rid", "c.*")
     kept = long.where("num is not null or (str is not null and str <> '')")
-    return kept.select("rid", "field", F.lit(0).alias("seq"), "num", F.col("num").alias("lo"), F.col("num").alias("hi"), "str", "kind",
+    return kept.select("rid", "field", F.lit(0).cast("long").alias("seq"), "num", F.col("num").alias("lo"), F.col("num").alias("hi"), "str", "kind",
                        F.lit(None).cast("string").alias("unit"))
 
 
@@ -47,7 +47,7 @@ def from_params(params: DataFrame) -> DataFrame:
     interval = F.when(quantity, V.parse_interval(F.col("value")))
     number = F.when(quantity, V.coerce_number(F.col("value"), force=True)).otherwise(V.coerce_number(F.col("value")))
     typed = params.where("value is not null and value <> ''").select(
-        "rid", F.col("name").alias("field"), F.col("seq").cast("int").alias("seq"), "value", "unit",
+        "rid", F.col("name").alias("field"), F.col("seq").cast("long").alias("seq"), "value", "unit",
         interval.alias("i"), number.alias("n"), V.parse_date(F.col("value")).alias("d"))
     return typed.select(
         "rid", "field", "seq", F.when(F.col("i").isNull(), F.col("n")).alias("num"),
@@ -76,20 +76,24 @@ def country_parts(fields: DataFrame) -> DataFrame:
     """Compound values of country fields as one row per country."""
     parts = V.split_country(F.col("field"), F.col("str"))
     whole = fields.withColumn("p", F.coalesce(parts, F.array("str")))
-    keep = [c for c in fields.columns if c not in ("str", "seq")]
+    keep = [c for c in fields.columns if c != "str"]
     return whole.select(*keep, F.posexplode_outer("p").alias("seq2", "str")).withColumn(
-        "seq", F.coalesce("seq2", F.lit(0))).select(*fields.columns)
+        "seq", F.col("seq") + F.coalesce("seq2", F.lit(0))).select(*fields.columns)
 
 
 def param_lines(passages: DataFrame, rid: str = "parent_rid", text: str = "text", order: str = "row_id") -> DataFrame:
-    """(rid, name, value, unit, descr, qualifier, seq, dtype) from lines 'Parameter name [qualifier] = value unit (descr)'."""
+    """(rid, name, value, unit, descr, qualifier, seq, dtype) from lines 'Parameter name [qualifier] = value unit (descr)'.
+
+    ``order`` is a whole number; with the line's place it gives ``seq``, an order without a window, so a
+    record with very many passages is no task of its own.
+    """
     shape = r"^Parameter ([^\[=]+?)(?: \[([^\]]*)\])? = (\S+(?: to \S+)?)(?: ([^(]*?))?(?: \((.*)\))?$"
     lines = passages.where(F.col(rid).isNotNull() & F.col(text).isNotNull()).select(
         F.col(rid).alias("rid"), F.col(order).alias("o"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).where("line like 'Parameter %'")
     got = lambda k: F.nullif(F.trim(F.regexp_extract("line", shape, k)), F.lit(""))
     return lines.where(F.col("line").rlike(shape)).select(
         "rid", got(1).alias("name"), got(3).alias("value"), got(4).alias("unit"), got(5).alias("descr"), got(2).alias("qualifier"),
-        F.row_number().over(Window.partitionBy("rid").orderBy("o", "pos")).alias("seq"), F.lit(None).cast("string").alias("dtype"))
+        (F.col("o").cast("long") * (1 << 20) + F.col("pos")).alias("seq"), F.lit(None).cast("string").alias("dtype"))
 
 
 def rich_params(params: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import values as V
-from orrery.plans.runtime import broadcast_if_small
+from orrery.plans.runtime import broadcast_if_small, is_small
 
 # Words that identify no record.
 STOPWORDS = ("the", "a", "an", "of", "and", "or", "for", "with", "to", "in", "on", "by", "mk", "type", "model", "block", "lot")
@@ -40,8 +40,14 @@ def mentions(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataF
     spaced = lambda c: F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " ")), F.lit(" "))
     keyed = aliases.select("alias", "rid", spaced(F.col("alias")).alias("pattern")).withColumn("word", F.split(F.trim("pattern"), " ")[0]).where("word <> ''")
     body = texts.where(F.col(text).isNotNull()).select(key, spaced(F.col(text)).alias("body"))
-    words = body.select(key, "body", F.explode(F.array_distinct(F.split(F.trim("body"), " "))).alias("word"))
-    return words.join(broadcast_if_small(keyed), "word").where(F.expr("contains(body, pattern)")).select(key, "alias", "rid").distinct()
+    found_words = F.explode(F.array_distinct(F.split(F.trim("body"), " "))).alias("word")
+    if is_small(keyed):
+        hits = body.select(key, "body", found_words).join(F.broadcast(keyed), "word")
+    else:
+        # texts must not travel once per word: candidates are found by words alone and verified afterwards
+        candidates = body.select(key, found_words).join(keyed, "word").drop("word").distinct()
+        hits = body.join(candidates, key)
+    return hits.where(F.expr("contains(body, pattern)")).select(key, "alias", "rid").distinct()
 
 
 def matched_records(found: DataFrame, key: str) -> DataFrame:

@@ -51,7 +51,7 @@ def field_rows(spark: SparkSession, sf: str) -> DataFrame:
     own = fields.from_columns(records_of(spark, sf), "rid", ATTRIBUTES)
     claims = table(spark, sf, "claims").where("model_id is not null and canon_field is not null and value_norm is not null").dropDuplicates(["claim_id"])
     given = claims.select(
-        F.col("model_id").alias("rid"), F.col("canon_field").alias("field"), F.row_number().over(Window.partitionBy("model_id", "canon_field").orderBy("claim_id")).alias("seq"),
+        F.col("model_id").alias("rid"), F.col("canon_field").alias("field"), F.col("claim_id").cast("long").alias("seq"),
         F.col("value_norm").alias("num"), F.col("value_norm").alias("lo"), F.col("value_norm").alias("hi"), F.lit(None).cast("string").alias("str"),
         F.lit("number").alias("kind"), F.col("unit_norm").alias("unit"))
     return own.unionByName(given)
@@ -383,6 +383,7 @@ def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, CAST(sum(greatest(1, length(text) // 4)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents WHERE source = 'glossary_card' AND text IS NOT NULL QUALIFY used <= 2000")
 def budget_pack(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("source = 'glossary_card' and text is not null").select("doc_id", V.estimated_tokens(F.col("text")).alias("tokens"))
+    docs = docs.orderBy("doc_id").limit(2000)  # each text has at least one token, so no more can fit
     used = F.sum("tokens").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     return docs.withColumn("used", used).where("used <= 2000")
 
