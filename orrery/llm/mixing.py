@@ -16,7 +16,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.plans.runtime import Scratch, broadcast_if_small, running_total
+from orrery.plans.runtime import Scratch, broadcast_if_small, parallelism, running_total
 
 #: Least size of a block and greatest number of blocks; a block is also no smaller than the longest document.
 BLOCK_TOKENS = 4096
@@ -82,7 +82,7 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "
     plan_rows = [(s, float(t), supply[s], repeats[s], blocks[s]) for s, (_, t) in sorted(quota.items())]
     plan = spark.createDataFrame(plan_rows, "source string, quota double, supply long, repeats int, blocks long")
     used = held.where("n_tokens > 0").join(F.broadcast(plan), "source")
-    placed = running_total(used, "source", [key], "n_tokens", "before", buckets=256)
+    placed = running_total(used, "source", [key], "n_tokens", "before", buckets=max(256, 4 * parallelism(spark)))
     copies = placed.withColumn("copy_no", F.explode(F.expr("sequence(0, repeats - 1)"))).withColumn(
         "start", F.col("copy_no") * F.col("supply") + F.col("before"))
     chosen = copies.where("start + n_tokens / 2 <= quota").withColumn(

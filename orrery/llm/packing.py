@@ -41,6 +41,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, rounds
     is divided into full containers and a remainder. Equal sizes and repeated keys are packed each.
     """
     scratch = Scratch(sizes.sparkSession, "packing")
+    sizes = scratch.put(sizes.select(key, size))  # counted once, read for the items and for the empty ones
     items = scratch.put(parts(sizes, key, size, capacity))
     total = items.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(1, round(total / (capacity * BUCKET_CONTAINERS)))
