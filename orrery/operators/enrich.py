@@ -175,8 +175,10 @@ def classify(claims: DataFrame) -> DataFrame:
     """Adds ``decision`` and ``reason`` by the ordered cascade of tests; the first that applies decides.
 
     Needs columns: attribute, canon_field, mapping_status, model_id, grounded, quote, value_num (double or
-    null), unit_norm, field_numeric (bool), field_unit, unit_ok (bool or null), outcome (of the comparison).
+    null), unit_norm, field_numeric (bool), field_unit, unit_ok (bool or null), outcome (of the comparison);
+    dual_ok (bool or null) is optional.
     """
+    dual = F.col("dual_ok") if "dual_ok" in claims.columns else F.lit(None).cast("boolean")
     tests: list[tuple[Column, str, str]] = [
         (F.trim(F.coalesce("attribute", F.lit(""))) == "", "dropped", "malformed_claim"),
         (F.col("model_id").isNull(), "parked", "unlinked"),
@@ -185,9 +187,10 @@ def classify(claims: DataFrame) -> DataFrame:
         (F.col("mapping_status") == "ambiguous", "parked", "ambiguous_field"),
         (F.col("canon_field").isNull(), "parked", "unmapped"),
         (~F.col("field_numeric"), "parked", "text_field"),
+        (~F.coalesce(dual, F.lit(True)), "parked", "inconsistent_dual"),
+        (~F.coalesce("unit_ok", F.lit(True)), "parked", "incompatible_unit"),
         (F.col("value_num").isNull(), "parked", "incomplete"),
         (F.col("field_unit").isNotNull() & F.col("unit_norm").isNull(), "parked", "incomplete"),
-        (~F.coalesce("unit_ok", F.lit(True)), "parked", "incompatible_unit"),
         (F.col("outcome") == "incomparable", "parked", "incomplete"),
         (F.col("outcome") == "match", "dropped", "already_present"),
         (F.col("outcome") == "gap", "surfaced", "gap_fill"),

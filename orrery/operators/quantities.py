@@ -170,3 +170,43 @@ def normalise_units(claims: DataFrame, fields: DataFrame, units: DataFrame) -> D
                 ("unit_norm", pa.string()), ("unit_from", pa.string()), ("stated_in", pa.string())]))
 
     return rows.mapInArrow(run, _SCHEMA).dropDuplicates(["claim_id"])
+
+
+def _dual_agrees(reading: Reading, tolerance: float) -> bool | None:
+    """Whether the two numbers of a dual notation state the same quantity; None without two units of one place."""
+    if not reading.dual or reading.low is None or reading.high is None:
+        return None
+    for place in ("value", "unit", "attribute", "quote"):
+        pair = [q for p, q in reading.units if p == place]
+        if len(pair) == 2 and pair[0].same_dimension(pair[1]):
+            a, b = (v * q.factor + q.offset for v, q in zip((reading.low, reading.high), pair))
+            return abs(a - b) <= tolerance * max(abs(a), abs(b))
+    return None
+
+
+def stated(claims: DataFrame, fields: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """(claim_id, value, unit_ok, dual_ok) for every distinct claim of a known field.
+
+    ``value`` is in the canonical unit (null if nothing converts, and for fields without a unit the bare
+    number); ``unit_ok`` is false if a unit of another dimension is stated, null if none is; ``dual_ok`` is
+    null unless two numbers with two units are given.
+    """
+    rows = claims.select("claim_id", "canon_field", "value_raw", "unit_raw", "attribute", "quote").join(
+        broadcast_if_small(fields.select("canon_field", "canonical_unit").distinct()), "canon_field")
+    schema = pa.schema([("claim_id", pa.int64()), ("value", pa.float64()), ("unit_ok", pa.bool_()), ("dual_ok", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict] = []
+            cols = batch.to_pydict()
+            for cid, value, unit, attribute, quote, target in zip(*(cols[c] for c in ("claim_id", "value_raw", "unit_raw", "attribute", "quote", "canonical_unit"))):
+                reading, q = read_claim(value, unit, attribute, quote), parse_unit(target)
+                if q is None:
+                    out.append({"claim_id": cid, "value": reading.low, "unit_ok": None, "dual_ok": _dual_agrees(reading, tolerance)})
+                    continue
+                got = convert(reading, q, [(target, q), *((str(i), u) for i, (_, u) in enumerate(reading.units))])
+                ok = all(u.same_dimension(q) for _, u in reading.units) if reading.units else None
+                out.append({"claim_id": cid, "value": got[0] if got else None, "unit_ok": ok, "dual_ok": _dual_agrees(reading, tolerance)})
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    return rows.mapInArrow(run, "claim_id long, value double, unit_ok boolean, dual_ok boolean").dropDuplicates(["claim_id"])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import values as V
-from orrery.operators import catalogue, enrich, evidence, fields, filters, names, retrieval
+from orrery.operators import catalogue, enrich, evidence, fields, filters, names, quantities, retrieval
 from orrery.operators.hierarchy import plain_id
 from orrery.plans.runtime import Scratch, table
 
@@ -578,13 +578,15 @@ def claim_status(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def claim_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """The whole cascade over all claims: grounded, compared, decided; (claim_id, decision, reason)."""
-    ref = table(spark, sf, "field_ref").select("canon_field", (F.col("data_type") == "Number").alias("field_numeric"), F.col("canonical_unit").alias("field_unit"))
-    c = table(spark, sf, "claims").dropDuplicates(["claim_id"]).join(F.broadcast(ref), "canon_field", "left")
+    ref = table(spark, sf, "field_ref")
+    kinds = ref.select("canon_field", (F.col("data_type") == "Number").alias("field_numeric"), F.col("canonical_unit").alias("field_unit"))
+    c = table(spark, sf, "claims").dropDuplicates(["claim_id"]).join(F.broadcast(kinds), "canon_field", "left")
+    read = quantities.stated(c, ref)
     stored = fields.from_params(fields.param_lines(table(spark, sf, "records"))).where("num is not null").select("rid", "field", "lo", "hi")
-    ready = enrich.ground(c.withColumn("rid", F.col("model_id")).withColumn("field", F.col("canon_field")).withColumn("value", F.col("value_norm")))
+    ready = enrich.ground(c.join(read, "claim_id", "left").withColumn("rid", F.col("model_id")).withColumn("field", F.col("canon_field")))
     outcome = enrich.compare_numeric(ready.select("claim_id", "rid", "field", "value"), stored)
-    decided = enrich.classify(ready.join(outcome, "claim_id").withColumn("value_num", F.coalesce("value_norm", V.numeric_prefix(F.col("value_raw")))).withColumn(
-        "unit_ok", F.lit(None).cast("boolean")).withColumn("field_numeric", F.coalesce("field_numeric", F.lit(False))))
+    decided = enrich.classify(ready.join(outcome, "claim_id").withColumn("value_num", F.coalesce("value", V.numeric_prefix(F.col("value_raw")))).withColumn(
+        "unit_norm", F.when(F.col("value").isNotNull(), F.col("field_unit"))).withColumn("field_numeric", F.coalesce("field_numeric", F.lit(False))))
     return decided.select("claim_id", "decision", "reason")
 
 

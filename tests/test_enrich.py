@@ -44,10 +44,10 @@ def test_grounding_is_by_whole_values(spark):
 
 
 def test_cascade(spark):
-    base = dict(attribute="a", canon_field="f", mapping_status="resolved", model_id="m", grounded="quote", quote="it is 5 m", value_num=5.0, unit_norm="m", field_numeric=True, field_unit="m", unit_ok=True, outcome="gap")
+    base = dict(attribute="a", canon_field="f", mapping_status="resolved", model_id="m", grounded="quote", quote="it is 5 m", value_num=5.0, unit_norm="m", field_numeric=True, field_unit="m", unit_ok=True, outcome="gap", dual_ok=None)
     changes = [({}, "gap_fill"), ({"attribute": " "}, "malformed_claim"), ({"model_id": None}, "unlinked"), ({"grounded": "none"}, "ungrounded"), ({"quote": "it may be 5 m"}, "nonasserted"), ({"mapping_status": "ambiguous"}, "ambiguous_field"),
-               ({"canon_field": None}, "unmapped"), ({"field_numeric": False}, "text_field"), ({"value_num": None}, "incomplete"), ({"unit_norm": None}, "incomplete"), ({"unit_ok": False}, "incompatible_unit"), ({"outcome": "match"}, "already_present"), ({"outcome": "conflict"}, "conflict")]
-    schema = "attribute string, canon_field string, mapping_status string, model_id string, grounded string, quote string, value_num double, unit_norm string, field_numeric boolean, field_unit string, unit_ok boolean, outcome string, n int"
+               ({"canon_field": None}, "unmapped"), ({"field_numeric": False}, "text_field"), ({"value_num": None}, "incomplete"), ({"unit_norm": None}, "incomplete"), ({"unit_ok": False}, "incompatible_unit"), ({"outcome": "match"}, "already_present"), ({"outcome": "conflict"}, "conflict"), ({"dual_ok": False}, "inconsistent_dual")]
+    schema = "attribute string, canon_field string, mapping_status string, model_id string, grounded string, quote string, value_num double, unit_norm string, field_numeric boolean, field_unit string, unit_ok boolean, outcome string, dual_ok boolean, n int"
     df = spark.createDataFrame([(*(base | c).values(), i) for i, (c, _) in enumerate(changes)], schema)
     assert [r.reason for r in enrich.classify(df).orderBy("n").collect()] == [reason for _, reason in changes]
 

@@ -54,3 +54,10 @@ def test_claims(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "claim_id long, canon_field string, value_raw string, unit_raw string, attribute string, quote string")
     assert quantities.normalise_units(empty, spark.createDataFrame(FIELDS, "canon_field string, canonical_unit string"), spark.createDataFrame(UNITS, "unit string, dimension string, factor double, shift double")).count() == 0
+
+
+def test_stated(spark):
+    rows = [(1, "Maximum range", "18 / 9.72", "km/nmi", None, None), (2, "Maximum range", "18 / 12", "km/nmi", None, None), (3, "Length", "10", "kg", None, None), (4, "Crew", "4", None, None, None), (5, "Length", "4", None, None, None), (6, "Length", "10", "ft", None, None)]
+    claims = spark.createDataFrame(rows, "claim_id long, canon_field string, value_raw string, unit_raw string, attribute string, quote string")
+    got = {r.claim_id: (r.value, r.unit_ok, r.dual_ok) for r in quantities.stated(claims, spark.createDataFrame(FIELDS, "canon_field string, canonical_unit string")).collect()}
+    assert got == {1: (18.0, True, True), 2: (18.0, True, False), 3: (None, False, None), 4: (4.0, None, None), 5: (None, None, None), 6: (pytest.approx(3.048), True, None)}
