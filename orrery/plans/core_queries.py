@@ -441,9 +441,14 @@ def direct_lookup(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT alias, rid FROM (SELECT lower(title) AS alias, rid FROM t UNION SELECT lower(w), rid FROM (SELECT rid, unnest(string_split(title, ' ')) AS w FROM t) WHERE length(w) >= 3 AND lower(w) NOT IN ('the','and','for','with','type','model','block','lot','class','family','system')) WHERE length(alias) >= 2".replace(
     "FROM (SELECT lower(title)", "FROM (WITH t AS (SELECT CAST(model_id AS VARCHAR) AS rid, trim(regexp_replace(min_by(nomenclature, release_id), '\\s+', ' ', 'g')) AS title FROM models GROUP BY model_id) SELECT lower(title)"))
 def alias_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Aliases of the catalogue's names; designations such as 'Mk 9' count too and are left out here for the SQL's sake."""
-    built = names.alias_table(records_of(spark, sf), "rid", "title")
-    return built.where(~F.col("alias").rlike(r"^(?:mk|lot) ?\d+$"))
+    """The aliases that the SQL states: without designations such as 'Mk 9'. ``alias_table_whole`` has all."""
+    return alias_table_whole(spark, sf).where(~F.col("alias").rlike(r"^(?:mk|lot) ?\d+$"))
+
+
+@query()
+def alias_table_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All aliases of the catalogue's names, designations included; tested against plain code."""
+    return names.alias_table(records_of(spark, sf), "rid", "title")
 
 
 @query("SELECT stem, count(DISTINCT rid) AS members FROM (SELECT lower(regexp_extract(c, '([A-Za-z]+)[- ]?\\d', 1)) AS stem, model_id AS rid FROM (SELECT primary_equip_code AS c, model_id FROM models)) WHERE stem <> '' GROUP BY stem")
