@@ -81,3 +81,18 @@ def test_mapping_rows(spark):
     got = {r.id: (r.entry, r.status) for r in canonical.map_values(df, "id", "attribute", NAMES).collect()}
     assert got == {1: ("Length", "exact"), 4: ("UNMATCHED", "unmatched")}
     assert canonical.map_values(df.limit(0), "id", "attribute", NAMES).count() == 0
+
+
+@pytest.mark.parametrize("value,entry,status,names", [
+    ("mast heat", "Mast heat", "exact", ["Mast heat", "Mast head", "Mast beat"]), ("mast hexd", "Mast head", "fuzzy", ["Mast head", "Mast heat"]),
+    ("mast hea", None, "ambiguous", ["Mast head", "Mast heat", "Mast beat"]), ("fin", "Fin", "exact", ["Fin"])])
+def test_lookup_keeps_all_entries_in_bound(value, entry, status, names):
+    found = canonical.Lexicon(["Mast head", "Mast heat", "Mast beat", "Fin", "Fig"]).lookup(value)
+    assert (found[0], found[1]) == (entry, status) and sorted(found[3]) == sorted(names) and (entry is None or found[3][0] == entry)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=8, unique=True), st.text("abcd", min_size=1, max_size=9))
+def test_candidates_are_all_entries_in_bound(entries, word):
+    got = canonical.Lexicon(entries).lookup(word)[3]
+    assert sorted(got) == sorted(e for e in entries if edits(word, e) <= canonical.bound(len(word)))
