@@ -78,6 +78,28 @@ def relation_rows(links: DataFrame, seeds: DataFrame, titles: DataFrame, limit:
         "parent", "child", "relation_type", "reversed", F.coalesce("parent_title", "parent").alias("parent_title"), F.coalesce("child_title", "child").alias("child_title"))
 
 
+def related_each(links: DataFrame, seeds: DataFrame, records: DataFrame) -> DataFrame:
+    """(seed, rid, labels): as ``related``, but every seed is a question of its own, so seeds may be each other's neighbours."""
+    s = seeds.select(F.col("rid").alias("seed"), F.col("title").alias("seed_title"))
+    label = F.concat_ws(": ", "relation_type", "seed_title").alias("label")
+    down = links.join(s, links.parent == s.seed).select("seed", F.col("child").alias("rid"), label)
+    up = links.join(s, links.child == s.seed).select("seed", F.col("parent").alias("rid"), label)
+    found = down.unionByName(up).where("rid <> seed").join(records.select("rid"), "rid", "left_semi")
+    return found.groupBy("seed", "rid").agg(F.array_join(F.sort_array(F.collect_set("label")), "; ").alias("labels"))
+
+
+def relation_rows_each(links: DataFrame, seeds: DataFrame, titles: DataFrame, limit: int = 12) -> DataFrame:
+    """The rows of ``relation_rows`` with their ``seed``: every seed is a question of its own and has up to ``limit`` edges."""
+    s = seeds.select(F.col("rid").alias("seed"))
+    out = links.join(s, links.parent == s.seed).withColumn("reversed", F.lit(False))
+    back = links.where("parent <> child").join(s, F.col("child") == s.seed).withColumn("reversed", F.lit(True))
+    order = Window.partitionBy("seed").orderBy("parent", "child", "relation_type")
+    top = out.unionByName(back).withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).drop("r")
+    name = lambda c: titles.select(F.col("rid").alias(c), F.col("title").alias(f"{c}_title"))
+    return top.join(name("parent"), "parent", "left").join(name("child"), "child", "left").select(
+        "seed", "parent", "child", "relation_type", "reversed", F.coalesce("parent_title", "parent").alias("parent_title"), F.coalesce("child_title", "child").alias("child_title"))
+
+
 def fitted_to(links: DataFrame, titles: DataFrame) -> DataFrame:
     """(rid, fitted_to): for every record that is a child, the sorted titles of its parents."""
     named = links.join(titles.select(F.col("rid").alias("parent"), "title"), "parent")

@@ -415,6 +415,20 @@ def relation_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.relation_rows(evidence.edges(table(spark, sf, "record_relations"), plain_id), titles.orderBy("rid").limit(40), titles)
 
 
+@query()
+def related_one_hop_each(spark: SparkSession, sf: str) -> DataFrame:
+    """The neighbours of every record, not of the SQL's first 40 only; tested against plain code."""
+    titles = records_of(spark, sf).select("rid", "title")
+    return evidence.related_each(evidence.edges(table(spark, sf, "record_relations"), plain_id), titles, titles)
+
+
+@query()
+def relation_evidence_each(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to 12 edges of every record, not of the SQL's first 40 only; tested against plain code."""
+    titles = records_of(spark, sf).select("rid", "title")
+    return evidence.relation_rows_each(evidence.edges(table(spark, sf, "record_relations"), plain_id), titles, titles)
+
+
 @query(f"WITH {_LINKS} SELECT DISTINCT parent AS rid, child_name AS alias FROM ids WHERE nullif(parent, '') IS NOT NULL AND child_name IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ttl WHERE ttl.rid = ids.child)")
 def outside_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.outside_names(table(spark, sf, "record_relations"), "child_model_id", records_of(spark, sf).select("rid", "title"), plain_id)

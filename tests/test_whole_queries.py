@@ -5,7 +5,8 @@ import re
 
 import pytest
 
-from orrery.operators import names
+from orrery.operators import evidence, names
+from orrery.operators.hierarchy import plain_id
 from orrery.plans import registry
 from orrery.plans.runtime import table
 
@@ -29,3 +30,34 @@ def test_alias_table_keeps_designations(spark):
     got = [(r.alias, r.rid) for r in registry.QUERIES["alias_table_whole"](spark, SMALL).collect()]
     assert sorted(got) == sorted(want)
     assert any(re.fullmatch(r"(?:mk|lot) ?\d+", a) for a, _ in got)
+
+
+def test_every_seed_has_its_own_limit(spark):
+    links = spark.createDataFrame([(s, f"{s}{i:02}", "Carries") for s in "ab" for i in range(15)] + [("b", "a", "Part of"), ("b", "b", "Part of")], "parent string, child string, relation_type string")
+    recs = spark.createDataFrame([("a", "A"), ("b", "B"), ("a00", "A0")], "rid string, title string")
+    rows = evidence.relation_rows_each(links, recs.where("rid in ('a', 'b')"), recs).collect()
+    for seed in "ab":
+        edges = [(r.parent, r.child, r.relation_type) for r in links.collect() if seed in (r.parent, r.child)]
+        assert sorted((r.parent, r.child, r.relation_type) for r in rows if r.seed == seed) == sorted(edges)[:12]
+    assert all(r.reversed == (r.parent != r.seed) for r in rows)
+    got = {(r.seed, r.rid): r.labels for r in evidence.related_each(links, recs.where("rid in ('a', 'b')"), recs).collect()}
+    assert got == {("a", "b"): "Part of: A", ("b", "a"): "Part of: B", ("a", "a00"): "Carries: A"}
+
+
+@needs_tables
+def test_relations_cover_all_records(spark):
+    titles = first_releases(spark)
+    links = {tuple(r) for r in evidence.edges(table(spark, SMALL, "record_relations"), plain_id).select("parent", "child", "relation_type").collect()}
+    labels, edges = {}, {}
+    for p, c, kind in links:
+        for seed, other in {(p, c), (c, p)}:
+            if seed in titles:
+                edges.setdefault(seed, set()).add((p, c, kind))
+                if other in titles and other != seed:
+                    labels.setdefault((seed, other), set()).add(": ".join(x for x in (kind, titles[seed]) if x is not None))
+    related = registry.QUERIES["related_one_hop_each"](spark, SMALL).collect()
+    assert {(r.seed, r.rid): r.labels for r in related} == {k: "; ".join(sorted(v)) for k, v in labels.items()}
+    rows = registry.QUERIES["relation_evidence_each"](spark, SMALL).collect()
+    key = lambda e: tuple((x is not None, x or "") for x in e)
+    want = sorted((s, *e) for s, found in edges.items() for e in sorted(found, key=key)[:12])
+    assert sorted((r.seed, r.parent, r.child, r.relation_type) for r in rows) == want
