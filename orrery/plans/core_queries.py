@@ -523,6 +523,13 @@ def anti_seen(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.unseen(docs, docs.where("doc_id % 2 = 0")).select("doc_id", "content_hash")
 
 
+@query()
+def anti_seen_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents ingested from 2024 on, or undated, whose hash no earlier document has: each document is seen or incoming."""
+    docs = table(spark, sf, "documents").select("doc_id", "content_hash", F.coalesce(F.col("ingested_at") < "2024-01-01", F.lit(False)).alias("early"))
+    return enrich.unseen(docs.where("not early"), docs.where("early")).select("doc_id", "content_hash")
+
+
 @query("SELECT coalesce(s.k, i.k) AS k, coalesce(s.first_run, i.first_run) AS first_run, coalesce(i.n, s.n) AS n FROM (SELECT doc_id AS k, min(run_id) AS first_run, count(*) AS n FROM claims WHERE run_id <= 2 GROUP BY doc_id) s "
        "FULL OUTER JOIN (SELECT doc_id AS k, min(run_id) AS first_run, count(*) AS n FROM claims WHERE run_id > 2 GROUP BY doc_id) i ON s.k = i.k")
 def upsert_documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -630,6 +637,14 @@ def precision_recall(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.evaluate_proposals(c.where("id % 2 = 0"), c.where("id % 3 = 0"))
 
 
+@query()
+def precision_recall_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims of later runs against those of the first two, as in ``upsert_documents``: each valid claim is on one side."""
+    c = _clustered(spark, sf).select(F.col("status").alias("type"), F.col("model_id").alias("rid"), F.col("canon_field").alias("field"), F.col("value_norm").alias("value"), F.col("claim_id").alias("id"),
+                                     (F.coalesce("run_id", F.lit(0)) <= 2).alias("early"))
+    return enrich.evaluate_proposals(c.where("early").drop("early"), c.where("not early").drop("early"))
+
+
 @query("WITH rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY release_id) AS rn FROM models) WHERE rn = 1), p AS (SELECT r.system_group, r.system_type, c.canon_field AS parameter, min_by(c.unit_norm, c.claim_id) FILTER (WHERE c.unit_norm IS NOT NULL) AS uom, count(*) AS n FROM "
        "(SELECT DISTINCT ON (claim_id) * FROM claims WHERE canon_field IS NOT NULL AND model_id IS NOT NULL) c JOIN rec r ON CAST(r.model_id AS VARCHAR) = c.model_id GROUP BY ALL) SELECT system_group, system_type, string_agg(parameter || ':' || n, '; ' ORDER BY n DESC, parameter) AS manifest FROM p GROUP BY ALL")
 def type_manifest(spark: SparkSession, sf: str) -> DataFrame:

@@ -61,3 +61,24 @@ def test_relations_cover_all_records(spark):
     key = lambda e: tuple((x is not None, x or "") for x in e)
     want = sorted((s, *e) for s, found in edges.items() for e in sorted(found, key=key)[:12])
     assert sorted((r.seed, r.parent, r.child, r.relation_type) for r in rows) == want
+
+
+@needs_tables
+def test_precision_recall_reads_every_claim(spark):
+    rows = {r.claim_id: r for r in table(spark, SMALL, "claims").collect() if None not in (r.model_id, r.canon_field, r.value_norm)}.values()
+    early, late = [r for r in rows if (r.run_id or 0) <= 2], [r for r in rows if (r.run_id or 0) > 2]
+    meets = lambda e, f: (e.status, e.model_id, e.canon_field) == (f.status, f.model_id, f.canon_field) and abs(f.value_norm - e.value_norm) <= 0.03 * abs(e.value_norm)
+    got = {r.type: (r.tp, r.fp, r.fn) for r in registry.QUERIES["precision_recall_runs"](spark, SMALL).collect()}
+    want = {}
+    for t in {r.status for r in rows}:
+        tp = sum(any(meets(e, f) for f in late) for e in early if e.status == t)
+        want[t] = (tp, sum(not any(meets(e, f) for e in early) for f in late if f.status == t), sum(e.status == t for e in early) - tp)
+    assert got == want and len(early) + len(late) == len(rows)
+
+
+@needs_tables
+def test_anti_seen_reads_every_document(spark):
+    docs = table(spark, SMALL, "documents").select("doc_id", "content_hash", "ingested_at").collect()
+    seen = {d.content_hash for d in docs if d.ingested_at is not None and d.ingested_at.year < 2024}
+    want = [(d.doc_id, d.content_hash) for d in docs if (d.ingested_at is None or d.ingested_at.year >= 2024) and d.content_hash not in seen]
+    assert sorted(map(tuple, registry.QUERIES["anti_seen_dates"](spark, SMALL).collect())) == sorted(want) and want
