@@ -181,7 +181,7 @@ def coerce_numeric(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT DISTINCT claim_id, round(least(a, b), 6) AS lo, round(greatest(a, b), 6) AS hi FROM (SELECT claim_id, TRY_CAST(regexp_extract(value_raw, '^\\s*([+-]?\\d+(?:\\.\\d*)?)\\s+to\\s+([+-]?\\d+(?:\\.\\d*)?)\\s*$', 1) AS DOUBLE) AS a, "
        "TRY_CAST(regexp_extract(value_raw, '^\\s*([+-]?\\d+(?:\\.\\d*)?)\\s+to\\s+([+-]?\\d+(?:\\.\\d*)?)\\s*$', 2) AS DOUBLE) AS b FROM claims) WHERE a IS NOT NULL AND b IS NOT NULL")
 def parse_interval(spark: SparkSession, sf: str) -> DataFrame:
-    plain = table(spark, sf, "claims").where("value_raw not like '%,%'").select("claim_id", V.parse_interval(F.col("value_raw")).alias("i")).where("i is not null")
+    plain = table(spark, sf, "claims").select("claim_id", V.parse_interval(F.col("value_raw")).alias("i")).where("i is not null")
     return plain.select("claim_id", F.round("i.lo", 6).alias("lo"), F.round("i.hi", 6).alias("hi")).distinct()
 
 
@@ -382,7 +382,17 @@ def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, CAST(sum(greatest(1, length(text) // 4)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents WHERE source = 'glossary_card' AND text IS NOT NULL QUALIFY used <= 2000")
 def budget_pack(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("source = 'glossary_card' and text is not null").select("doc_id", V.estimated_tokens(F.col("text")).alias("tokens"))
+    return _packed(table(spark, sf, "documents").where("source = 'glossary_card'"))
+
+
+@query()
+def budget_pack_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The budget over documents of all sources, unlike the SQL's one source; tested against plain code."""
+    return _packed(table(spark, sf, "documents"))
+
+
+def _packed(documents: DataFrame) -> DataFrame:
+    docs = documents.where("text is not null").select("doc_id", V.estimated_tokens(F.col("text")).alias("tokens"))
     docs = docs.orderBy("doc_id").limit(2000)  # each text has at least one token, so no more can fit
     used = F.sum("tokens").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
     return docs.withColumn("used", used).where("used <= 2000")

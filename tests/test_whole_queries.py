@@ -82,3 +82,16 @@ def test_anti_seen_reads_every_document(spark):
     seen = {d.content_hash for d in docs if d.ingested_at is not None and d.ingested_at.year < 2024}
     want = [(d.doc_id, d.content_hash) for d in docs if (d.ingested_at is None or d.ingested_at.year >= 2024) and d.content_hash not in seen]
     assert sorted(map(tuple, registry.QUERIES["anti_seen_dates"](spark, SMALL).collect())) == sorted(want) and want
+
+
+def test_intervals_with_thousands_commas(spark, tmp_path):
+    rows = [(1, "5,861 to 7,033"), (2, "9 to 4"), (3, "5,861"), (4, None)]
+    spark.createDataFrame(rows, "claim_id long, value_raw string").write.parquet(str(tmp_path / "claims.parquet"))
+    assert {tuple(r) for r in registry.QUERIES["parse_interval"](spark, str(tmp_path)).collect()} == {(1, 5861.0, 7033.0), (2, 4.0, 9.0)}
+
+
+def test_budget_takes_documents_of_all_sources(spark, tmp_path):
+    rows = [(5, "x" * 4000, None), (1, "x" * 1999, "trade_press"), (2, None, "trade_press"), (3, "x" * 3, "glossary_card"), (4, "y" * 2400, None), (6, "x", "a")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, registry.QUERIES["budget_pack_all"](spark, str(tmp_path)).collect()))
+    assert got == [(1, 499, 499), (3, 1, 500), (4, 600, 1100)]
