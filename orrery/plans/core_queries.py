@@ -613,7 +613,7 @@ def claim_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def claim_decisions(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole cascade over all claims: grounded, compared, decided; (claim_id, decision, reason)."""
+    """The decisions over all claims: grounded, compared, decided; (claim_id, decision, reason). Steps not built are in the README."""
     ref = table(spark, sf, "field_ref")
     kinds = ref.select("canon_field", (F.col("data_type") == "Number").alias("field_numeric"), F.col("canonical_unit").alias("field_unit"))
     c = table(spark, sf, "claims").dropDuplicates(["claim_id"]).join(F.broadcast(kinds), "canon_field", "left")
