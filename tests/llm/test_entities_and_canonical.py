@@ -73,7 +73,27 @@ NAMES = ["Maximum range", "Maximum speed", "Engine power", "Length", "Crew", "Un
 @pytest.mark.parametrize("value,entry", [("maximum range", "Maximum range"), ("MAXIMUM_SPEED:", "Maximum speed"), ("power, engine", "Engine power"), ("est. lenght", "Length"), ("max. rng", "Maximum range"), ("maximumspeed [kn]", "Maximum speed"),
                                          ("Engine power, in kw", "Engine power"), ("vmax", "Maximum speed"), ("coût unitaire", "Unit cost"), ("crew morale rating", None), ("weight", None), ("???", None), ("x" * 10_000, None)])
 def test_lookup(value, entry):
-    assert canonical.Lexicon(NAMES, canonical.ALIASES, canonical.SHORT_FORMS).lookup(value)[0] == entry
+    assert canonical.Lexicon(NAMES, {"Maximum speed": ["vmax"], "Unit cost": ["coût unitaire"]}).lookup(value)[0] == entry
+
+
+@pytest.mark.parametrize("short,word,ok", [("max", "maximum", True), ("rng", "range", True), ("rnge", "range", True), ("wt", "weight", True), ("ctry", "country", True), ("mfg", "manufacturer", True),
+                                           ("rage", "range", False), ("m", "maximum", False), ("range", "range", False), ("speed", "range", False), ("ego", "engine", False)])
+def test_shortened_words(short, word, ok):
+    assert canonical.shortens(short, word) is ok
+
+
+def test_aliases_are_learned_and_unseen_spellings_still_found(spark):
+    """Spellings of mapped rows become paths; held-out ones with slips are found through them; a stray mapping is no alias."""
+    mapped = [("vmax", "Maximum speed")] * 3 + [("coût unitaire", "Unit cost")] * 2 + [("price per unit", "Unit cost")] * 4 + [("price per unit", "Crew")] + [("stray", "Crew")] + [(None, "Crew"), ("hull", "no entry"), ("", "Crew")]
+    df = spark.createDataFrame([(i, a, e) for i, (a, e) in enumerate(mapped)], "id long, attribute string, entry string")
+    aliases = canonical.learned_aliases(df, "attribute", "entry", NAMES)
+    assert aliases == {"Maximum speed": ["vmax"], "Unit cost": ["coût unitaire", "price per unit"]}
+    held_out = {"V-Max": "Maximum speed", "coût untiaire": "Unit cost", "price per unt": "Unit cost", "stray": None, "hull": None}
+    without, learned = canonical.Lexicon(NAMES), canonical.Lexicon(NAMES, aliases)
+    assert {v: learned.lookup(v)[0] for v in held_out} == held_out
+    assert all(without.lookup(v)[0] is None for v in held_out)
+    assert canonical.learned_aliases(df, "attribute", "entry", NAMES, per_entry=1)["Unit cost"] == ["price per unit"]
+    assert canonical.learned_aliases(df.limit(0), "attribute", "entry", NAMES) == {}
 
 
 def test_mapping_rows(spark):
@@ -95,4 +115,4 @@ def test_lookup_keeps_all_entries_in_bound(value, entry, status, names):
 @given(st.lists(st.text("abc", min_size=1, max_size=9), min_size=1, max_size=8, unique=True), st.text("abcd", min_size=1, max_size=9))
 def test_candidates_are_all_entries_in_bound(entries, word):
     got = canonical.Lexicon(entries).lookup(word)[3]
-    assert sorted(got) == sorted(e for e in entries if edits(word, e) <= canonical.bound(len(word)))
+    assert sorted(got) == sorted(e for e in entries if edits(word, e) <= canonical.bound(len(word)) or len(word) > 2 and canonical.shortens(word, e))
