@@ -59,8 +59,7 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that come out in more than one piece."""
-    pieces = splitting.split_texts(table(spark, sf_dir, "records"), "row_id", "text", with_text=False, keep=("rid",))
-    return pieces.where("rid is not null and end_pos - start_pos < total").select("rid").distinct()
+    return p4_pieces(spark, sf_dir).where("rid is not null and end_pos - start_pos < total").select("rid").distinct()
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +102,7 @@ def p10_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentences.sentence_starts(table(spark, sf_dir, "documents"))
+    return p10_sentences(spark, sf_dir).select("doc_id", "start_pos")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

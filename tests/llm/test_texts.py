@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from orrery.llm import sentences, splitting
+from orrery.llm import sentence_samples, sentences, splitting
 
 UNITS = [
     ["The trial began at 6 a.m. and ended at 7 p.m. on the same day.", "It was built for the U.S. Navy yard.", "Use in the U.S.", "p-type elements are used.", "iRIG-style recorders log 5 samples per min. without loss."],
@@ -50,25 +50,69 @@ def test_units_cover_the_text(text):
     assert not at or (text[:at[0]].strip() == "")
 
 
-def test_best_chain_equals_enumeration():
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([" held.", " Dr.", " (a.", " b.)", " “No!", " so.”", " ¿Why", " then?", " " + "long " * 70 + "end."]), st.sampled_from(["", "\n"])), min_size=2, max_size=9))
+def test_best_spans_equal_enumeration(parts):
+    """The programme with running maxima finds the score that trying every set of boundaries finds."""
     import itertools
 
-    cuts = [(5, 0.3), (9, -0.2), (600, 0.1), (640, 0.9)]
-    best = None
-    for chosen in itertools.product((0, 1), repeat=len(cuts)):
-        places = [0, *(c for (c, _), y in zip(cuts, chosen) if y), 1300]
-        score = sum(s for (_, s), y in zip(cuts, chosen) if y) + sum(sentences._length_score(b - a) for a, b in zip(places, places[1:]))
-        if best is None or score > best[0] + 1e-12:
-            best = (score, places[:-1])
-    out = []
-    sentences._best(0, 1300, cuts, 0, out)
-    assert out == best[1]
+    r = sentences.places_of("It" + "".join(a + b for a, b in parts).strip() + " Next one.")
+    if r is None or len(r.places) > 11:
+        return
+    weights = sentences.fit()
+    score = lambda begins: sum(weights.of.get(f, 0.0) for i, j in zip(begins, [*begins[1:], len(r.places) - 1]) for f in sentences.features(r, i, j))
+    best = max(score([0, *c]) for k in range(len(r.places) - 1) for c in itertools.combinations(range(1, len(r.places) - 1), k))
+    assert abs(score(sentences.best_spans(r, weights)) - best) < 1e-6
+
+
+def labelled():
+    for units, joiner in [(u, j) for u in UNITS for j in (" ", "\n")] + [(u, "") for u in DENSE]:
+        for seed in range(6):
+            order = units[:]
+            random.Random(seed).shuffle(order)
+            gold, text = [], ""
+            for u in order:
+                text += joiner if text else ""
+                gold.append(len(text))
+                text += u
+            yield text, gold
+
+
+def test_length_and_balance_decide():
+    """Without the terms that belong to both ends of a span, units change and errors appear, refitted or not."""
+    import dataclasses
+
+    def errors(weights):
+        return sum(len(set(sentences.starts(text, weights)) ^ set(gold)) for text, gold in labelled())
+
+    def held_out(weights):
+        return sum(len(set(sentences.starts(text, weights)) ^ set(gold)) for text, gold in sentence_samples.paragraphs(300, 99))
+
+    full = sentences.fit()
+    kept = held_out(full)
+    assert errors(full) == 0 and kept < 80
+    assert errors(dataclasses.replace(full, joint=False)) > 50
+    assert errors(sentences.fit(joint=False)) > 20 and held_out(sentences.fit(joint=False)) > 3 * kept
+    without = {g: held_out(sentences.Weights({f: w for f, w in full.of.items() if not f.startswith(g)})) for g in ("length", "balance", "closing", "opening")}
+    assert without["length"] >= kept and min(without["balance"], without["closing"], without["opening"]) > 3 * kept
+
+
+@pytest.mark.parametrize("text", ["Sie kam am 12. Mai an. Zeit u.s. am. " * 3000, "(" * 100_000 + "a. B. " * 1000, "Dr. " * 30_000, "“A. B” c. " * 12_000, "- item one. two\n" * 8000, "x" * 100_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    sentences.fit()
+    begin = time.time()
+    half = sentences.starts(text[:len(text) // 2])
+    middle = time.time()
+    whole = sentences.starts(text)
+    assert len(whole) >= len(half) and time.time() - middle < 4 * (middle - begin) + 1
 
 
 def test_sentence_rows(spark):
     df = spark.createDataFrame([(1, "It held. We left.", 0), (1, "It held. We left.", 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, unit_no int")
     assert sorted((r.doc_id, r.unit_no, r.start_pos, r.sentence) for r in sentences.sentences(df).collect()) == [(1, 0, 0, "It held."), (1, 0, 0, "It held."), (1, 1, 9, "We left."), (1, 1, 9, "We left.")]
-    assert sentences.sentence_starts(df.limit(0)).count() == 0
+    assert sentences.sentences(df.limit(0)).count() == 0
 
 
 def pieces_hold(text, pieces, limit):
@@ -85,13 +129,25 @@ def test_ranges_make_whole_pieces(lengths, seed):
     text = " ".join("A" + rng.choice("bc ") * (n - 2) + "." for n in lengths)
     whole = splitting.split_range(text, 0, 0, len(text), len(text), 100)
     pieces_hold(text, whole, 100)
-    size, halo, out = 700, 2 * 100 + splitting.CONTEXT, []
+    size, halo, out = 700, 2 * 100 + 2 * splitting.CONTEXT, []
     for k in range((len(text) - 1) // size + 1):
         o = max(0, k * size - halo)
         out += splitting.split_range(text[o:o + size + 2 * halo], o, k * size, min((k + 1) * size, len(text)), len(text), 100)
     pieces_hold(text, out, 100)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aB .!?…ก।。\n12-", max_size=900), st.integers(0, 5))
+def test_neighbours_see_the_same_borders(seed_text, k):
+    """Whatever the text, pieces of ranges cover it without gap and stay within the limit."""
+    text = (seed_text + " Am 3. Mai kam der Kran. ") * (2 + k) + "." * 300 + " " * 300 + seed_text
+    size, halo, out = 700, 2 * 100 + 2 * splitting.CONTEXT, []
+    for n in range((len(text) - 1) // size + 1):
+        o = max(0, n * size - halo)
+        out += splitting.split_range(text[o:n * size + size + halo], o, n * size, min((n + 1) * size, len(text)), len(text), 100)
+    pieces_hold(text, out, 100)
+
+
 def test_overlap_is_one_sentence():
     text = " ".join(f"Sentence number {i} is here." for i in range(60))
     made = splitting.split_range(text, 0, 0, len(text), len(text), 200)
