@@ -1,11 +1,14 @@
 """Markup residue in text: a tree-structured graphical model decides what is markup.
 
-A text is lexed into a document tree: the root, its lines, and in them constructs that may be HTML,
-Markdown, wiki or LaTeX syntax or mere characters (a bracket, a path, a price). Constructs nest in
-the elements that enclose them. Every node is a binary variable (markup or content) with a unary
-potential from its features and a potential shared with its parent; sum-product message passing
-upward and downward yields each node's marginal. The potentials are trained by gradient ascent on
-the likelihood of labelled pages, which a seeded generator writes (:func:`labelled_pages`).
+A text is lexed into a document tree. Below the root stand the dialects (HTML, Markdown, wiki, LaTeX)
+of which constructs occur, and the lines that hold mere characters (a bracket, a path, a price);
+below them the constructs, and constructs nest in the elements that enclose them (a closing tag and
+all between hang on the opening tag). Every node is a binary variable (markup or content) with a
+unary potential from its own letters and a potential shared with its parent, by the kinds of both.
+So a dialect that is surely in use lends weight to its doubtful constructs, and an element tells what
+its content is. Sum-product message passing upward and downward yields each node's marginal. The
+potentials are trained by gradient ascent on the likelihood of labelled pages, which a seeded generator
+writes (:func:`labelled_pages`).
 
 Nodes found to be markup are rendered to plain text; headings, lists, code, tables and formulas stay
 as typed blocks. All other nodes stay as they are.
@@ -39,12 +42,15 @@ footnote frac gamma ge geq gram href hspace hz include includegraphics infty int
 mathbf mathrm mega meter metre micro milli mu nabla newline newton noindent num ohm omega overline pagebreak paragraph
 parbox partial pascal per phi pi pm prod qquad quad ref rho right second section sigma si SI sin sqrt squared ss subsection
 subsubsection sum tau textbf textit textrm textsc texttt theta times title underline unit url usepackage vec volt vspace watt""".split())
+#: Elements whose content is shown letter by letter.
+_LITERAL = {"pre", "code", "tt", "kbd", "samp"}
 _UNITS = {"kilo": "k", "mega": "M", "giga": "G", "milli": "m", "micro": "µ", "watt": "W", "metre": "m", "meter": "m", "gram": "g",
           "hertz": "Hz", "second": "s", "volt": "V", "pascal": "Pa", "newton": "N", "ohm": "Ω", "per": "/", "squared": "²",
           "degree": "°", "celsius": "°C", "hour": "h", "litre": "L", "percent": "%"}
 
 _PATTERNS = [
     ("comment", r"<!--.*?(?:-->|\Z)"),
+    ("raw", r"<(?:script|SCRIPT|style|STYLE)\b[^>]*>.*?</(?:script|SCRIPT|style|STYLE)\s*>"),
     ("fence", r"^[ \t]*(?:```|~~~)[^\n]*\n.*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)"),
     ("wiki_table", r"^\{\|.*?(?:^\|\}|\Z)"),
     ("display_math", r"\\\[.*?\\\]"),
@@ -99,10 +105,20 @@ _MAYBE = re.compile(r"[<>&*_#$|\[\]\\~{}`]|''|^={1,6}|^-|^\+", re.M)
 _SPANS = {"strong", "star_span", "under_span", "strike", "wiki_quotes", "table_row", "link", "wiki_heading", "command", "bracket"}
 
 
+#: Dialect of each construct that belongs to one.
+_DIALECT = {kind: dialect for dialect, kinds in {
+    "html": "comment raw escaped_tag entity open_entity tag cut_tag",
+    "markdown": "fence image link ref_link heading rule table_rule table_row star_bullet dash_bullet quote strong star_span under_span strike code",
+    "wiki": "wiki_table template wiki_link url_link wiki_heading wiki_quotes",
+    "latex": "display_math inline_math dollar_math command bare_command escape"}.items() for kind in kinds.split()}
 #: Constructs that are mere characters unless they are labelled on their own.
 _PLAIN = {"money", "bracket", "brace", "snake", "amp", "less", "more", "hash", "star", "tilde", "bar", "backslash", "backtick", "line"}
 
 
+#: Nodes that stand for a whole text, dialect or line; markup if anything below is.
+_UPPER = {"root", "line", "html", "markdown", "wiki", "latex"}
+
+
 @dataclass
 class Node:
     kind: str
@@ -111,6 +127,7 @@ class Node:
     parent: int
     features: list[str] = field(default_factory=list)
     text: str = ""
+    number: int = -1
 
 
 def _features(kind: str, text: str, start: int, end: int) -> list[str]:
@@ -119,8 +136,8 @@ def _features(kind: str, text: str, start: int, end: int) -> list[str]:
     out = [kind]
     if kind in ("tag", "cut_tag", "escaped_tag"):
         name = re.search(r"[A-Za-z][A-Za-z0-9]*", body.replace("&lt;", ""))
-        known = bool(name) and name.group(0).lower() in TAGS
-        out.append(f"{kind}:{'known' if known else 'unknown'}")
+        low = name.group(0).lower() if name else ""
+        out.append(f"{kind}:{'literal' if low in _LITERAL else 'raised' if low == 'sup' else 'known' if low in TAGS else 'unknown'}")
         if "=" in body:
             out.append(f"{kind}:attribute")
     elif kind == "entity":
@@ -162,6 +179,17 @@ def lex(text: str) -> list[Node]:
             line_of[k] = len(nodes) - 1
         return line_of[k]
 
+    dialects: dict[str, int] = {}
+
+    def top(kind: str, at: int) -> int:
+        dialect = _DIALECT.get(kind)
+        if dialect is None:
+            return line(at)
+        if dialect not in dialects:
+            nodes.append(Node(dialect, 0, len(text), 0, [dialect]))
+            dialects[dialect] = len(nodes) - 1
+        return dialects[dialect]
+
     def scan(lo: int, hi: int, parent: int | None) -> None:
         at = lo
         while at < hi:
@@ -172,7 +200,7 @@ def lex(text: str) -> list[Node]:
             if e == s:
                 at = s + 1
                 continue
-            above = parent if parent is not None else (open_tags[-1][1] if open_tags else line(s))
+            above = parent if parent is not None else (open_tags[-1][1] if open_tags else top(kind, s))
             node = Node(kind, s, e, above, _features(kind, text, s, e), text[s:e])
             nodes.append(node)
             me = len(nodes) - 1
@@ -182,7 +210,6 @@ def lex(text: str) -> list[Node]:
                     for k in range(len(open_tags) - 1, -1, -1):
                         if open_tags[k][0] == name:
                             node.parent = open_tags[k][1]
-                            node.features.append("tag:paired")
                             del open_tags[k:]
                             break
                 elif not node.text.endswith("/>") and name not in ("br", "hr", "img", "input", "meta", "link", "p", "li"):
@@ -207,6 +234,9 @@ def lex(text: str) -> list[Node]:
     return nodes
 
 
+_FLAT = [0.0] * 4
+
+
 @dataclass
 class Model:
     """Potentials: unary weights by feature (log-odds of markup), and 2 x 2 tables by parent's group."""
@@ -215,8 +245,10 @@ class Model:
     pair: dict[str, list[float]] = field(default_factory=dict)
 
     @staticmethod
-    def group(parent: Node) -> str:
-        return parent.kind if parent.kind in ("root", "line", "tag") else "construct"
+    def group(parent: Node, child: Node) -> str:
+        """Key of the table that a parent shares with a child."""
+        below = "closing" if child.kind == "tag" and child.text.startswith("</") else child.kind
+        return f"{parent.features[1] if parent.kind == 'tag' else parent.kind} > {below}"
 
     def marginals(self, nodes: list[Node]) -> tuple[list[float], list[list[float]]]:
         """P(markup) of each node, and of each edge the joint of (parent, child) as [00, 01, 10, 11]."""
@@ -224,7 +256,7 @@ class Model:
         own = [sum(self.unary.get(f, 0.0) for f in nd.features) for nd in nodes]
         up0, up1 = [0.0] * n, own[:]  # log beliefs from below, own potential included
         msg: list[tuple[float, float]] = [(0.0, 0.0)] * n
-        tables = [self.pair.get(self.group(nodes[nd.parent]), [0.0] * 4) if nd.parent >= 0 else [0.0] * 4 for nd in nodes]
+        tables = [self.pair.get(self.group(nodes[nd.parent], nd), _FLAT) if nd.parent >= 0 else _FLAT for nd in nodes]
         for i in range(n - 1, 0, -1):
             t = tables[i]
             m0 = _lse(t[0] + up0[i], t[1] + up1[i])
@@ -272,7 +304,10 @@ _SNIPPETS = [
     "The ⟦\\textbf{{{w}}}⟧ draws ⟦\\SI{{{n}}}{{\\kilo\\watt}}⟧.", "⟦\\section{{{w}}}⟧\n{w} {w}.", "{w} rose by {n}⟦\\,⟧⟦\\%⟧ ⟦\\cite{{{w}{n}}}⟧.",
     "⟦\\begin{{itemize}}⟧\n⟦\\item⟧ {w}\n⟦\\item⟧ {w}\n⟦\\end{{itemize}}⟧", "Here ⟦$v_{{max}}$⟧ stays below ⟦\\(c_0\\)⟧.", "⟦\\[ R = \\sqrt{{P t}} \\]⟧\n",
     "The gain is ⟦$G = \\frac{{4\\pi A}}{{\\lambda^2}}$⟧.", "{w} {n} {u}. ⟦\\footnote{{{w}}}⟧", "(cf. ⟦$v_{{{n}}}$⟧)", "⟦$x^2$⟧ {w}", "{w} ⟦\\&⟧ {w} cost {n}⟦\\%⟧.",
+    "⟦<{x}>⟧{w} {n}⟦</{x}>⟧ {w}.", "⟦<{x}>⟧⟦<b>⟧{w}⟦</b>⟧⟦</{x}>⟧", "⟦<section>⟧{w} ⟦<{x}>⟧{w}⟦</{x}>⟧ {w}⟦</section>⟧", "⟦\\section{{{w}}}⟧ ⟦${n}$⟧ {w}, ⟦$k$⟧ {w}.", "⟦\\emph{{{w}}}⟧ of ⟦${w}$⟧ {w}.",
+    "⟦## ⟧{w}\n\n⟦- ⟧{w} {w}\n⟦- ⟧{w}", "⟦**{w}**⟧:\n⟦- ⟧{w} {n}\n⟦- ⟧{w}", "⟦<sup>⟧⟦[{n}]⟧⟦</sup>⟧ {w}", "⟦<pre>⟧{w} &amp; *{w}* [{n}]⟦</pre>⟧", "⟦<code>⟧{w}_{w} = ${n}$⟦</code>⟧",
     # content that looks like markup
+    "Enter <{x}> and <{x}> here.", "{w} <{x}> {w}.", "It cost ${n} or ${n}$ {w}.", "{w} [{n}] {w}", "Type -{w} and [{n}].",
     "Losses stay small when gain<{n} dB and swing>{n} dB.", "Range > {n} km; weight < {n} kg.", "{w} & {w} list the tag {w}_{w}_{u} and {w}_{w}.",
     "A ** marks estimated values.", "The fit is {n} * {n} * {n} modules.", "The #{n} pump and the #{n} pump were swapped.", "Costs rose from ${n} million to ${n} million.",
     "{w} is US$ {n}.", "Manual [rev. B] applies; see docs.example/{w}.", "The archive sits in C:\\{w}\\{w}\\{w} on the PC.", "The set {{A, B, C}} is fixed.",
@@ -316,16 +351,22 @@ class _Filler(dict):
     def __init__(self, rng: random.Random):
         super().__init__()
         self.rng = rng
+        self.element = rng.choice(["name", "value", "spec", "item", "port", "field"])
 
     def __missing__(self, key: str) -> str:
         if key == "w":
             return "\x00w"
+        if key == "x":
+            return self.element
         return str(self.rng.randint(2, 900)) if key == "n" else self.rng.choice(["km", "kg", "kW", "m", "h"])
 
 
 @lru_cache(maxsize=4)
-def train(pages: int = 1200, epochs: int = 8, seed: int = 7) -> Model:
-    """Maximum likelihood by AdaGrad over ``pages`` generated labelled pages (the documented bound of the sample)."""
+def train(pages: int = 1200, epochs: int = 8, seed: int = 7, pairs: bool = True) -> Model:
+    """Maximum likelihood by AdaGrad over ``pages`` generated labelled pages (the documented bound of the sample).
+
+    ``pairs`` false leaves the parent-child potentials at zero (for ablation).
+    """
     model = Model()
     data = []
     for text, spans in labelled_pages(pages, seed):
@@ -337,10 +378,10 @@ def train(pages: int = 1200, epochs: int = 8, seed: int = 7) -> Model:
             nd = nodes[i]
             if nd.kind in _PLAIN:  # a mere character inside a construct is content of that construct
                 gold[i] = int((nd.start, nd.end) in spans)
-            elif nd.kind != "line":
+            elif nd.kind not in _UPPER:
                 gold[i] = int(any(a <= nd.start < b for a, b in spans))
             if gold[i]:
-                gold[nd.parent] = 1 if nodes[nd.parent].kind in ("line", "root") else gold[nd.parent]
+                gold[nd.parent] = 1 if nodes[nd.parent].kind in _UPPER else gold[nd.parent]
         data.append((nodes, gold))
     seen: dict[str, float] = {}
     rng = random.Random(seed)
@@ -365,12 +406,12 @@ def train(pages: int = 1200, epochs: int = 8, seed: int = 7) -> Model:
                 if abs(g) > 1e-4:
                     for f in nd.features:
                         move(model.unary, f, None, g, 1e-3)
-                if nd.parent >= 0:
+                if pairs and nd.parent >= 0:
                     at = 2 * gold[nd.parent] + gold[i]
                     for c in range(4):
                         d = (c == at) - joint[i][c]
                         if abs(d) > 1e-4:
-                            move(model.pair, Model.group(nodes[nd.parent]), c, d, 1e-3)
+                            move(model.pair, Model.group(nodes[nd.parent], nd), c, d, 1e-3)
     return model
 
 
@@ -382,7 +423,14 @@ class Cleaned:
     blocks: list[tuple[str, str]]
 
 
-_DROPPED = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<div class=[\"']?ad[\"']?[^>]*>.*?</div>|<ref\b[^>/]*>.*?</ref>|<sup>\s*\[?\d+\]?\s*</sup>", re.S | re.I)
+# Symbols that LaTeX commands stand for.
+SYMBOLS = dict(zip("times pm mp cdot degree alpha beta gamma delta epsilon theta lambda mu nu pi rho sigma tau phi omega eta "
+                   "Delta Gamma Theta Lambda Sigma Phi Omega infty approx leq le geq ge neq ne ldots dots nabla partial sum int prod sqrt "
+                   "to rightarrow leftarrow div circ percent celsius ohm micro textdegree S P copyright euro pounds ss".split(),
+                   "× ± ∓ · ° α β γ δ ε θ λ μ ν π ρ σ τ φ ω η Δ Γ Θ Λ Σ Φ Ω ∞ ≈ ≤ ≤ ≥ ≥ ≠ ≠ … … ∇ ∂ ∑ ∫ ∏ √ → → ← ÷ ° % °C Ω µ ° § ¶ © € £ ß".split()))
+#: Commands that only lay out; they leave nothing or a line break.
+_LAYOUT = set("noindent centering left right bf it em sl tt rm small large Large huge normalsize quad qquad hspace vspace clearpage maketitle tableofcontents ".split())
+_LINE_ENDS = {"newline", "pagebreak", "newpage", "par", "linebreak"}
 _MARK = {"heading": "\x01", "list": "\x02", "code": "\x03", "table": "\x04", "formula": "\x05", "end": "\x06"}
 
 
@@ -390,6 +438,21 @@ def _siunitx(units: str) -> str:
     return "".join(_UNITS.get(u, u) for u in re.findall(r"\\([A-Za-z]+)", units)) or units
 
 
+def _template(body: str, inner) -> str:
+    """Text of a wiki template: its quantity, its foreign words, its title, or else all its unnamed arguments."""
+    name, *rest = [p.strip() for p in re.split(r"\|(?![^{]*\}\})", body)]
+    low = name.lower()
+    unnamed = [p for p in rest if not re.match(r"[\w-]+\s*=", p)]
+    named = dict(re.split(r"\s*=\s*", p, maxsplit=1) for p in rest if re.match(r"[\w-]+\s*=", p))
+    if low in ("convert", "cvt"):
+        return " ".join(unnamed[:2])
+    if low.startswith(("lang", "transl")):
+        return unnamed[-1] if unnamed else ""
+    if low.startswith("cite"):
+        return f" ({named['title']})" if named.get("title") else ""
+    return " ".join(re.sub(r"\{\{([^{}]*)\}\}", lambda m: _template(m.group(1), inner), p) for p in unnamed)
+
+
 def _render(kind: str, body: str, inner) -> str:
     """Plain text of one construct; ``inner`` renders enclosed text."""
     mark = lambda block, s: f"\n{_MARK[block]}{s}{_MARK['end']}\n"
@@ -407,10 +470,12 @@ def _render(kind: str, body: str, inner) -> str:
             return f"{_MARK['end']}\n" if closing else f"\n{_MARK['table']}"
         if low in ("td", "th"):
             return "\t" if closing else ""
+        if low == "ref" and not body.endswith("/>"):
+            return ")" if closing else " ("
         return "\n" if low in BLOCK_TAGS else ""
     if kind in ("entity", "open_entity"):
         return html.unescape(body if body.endswith(";") else body + ";").replace("\xa0", " ")
-    if kind in ("comment", "rule", "table_rule", "ref_link"):
+    if kind in ("comment", "raw", "rule", "table_rule", "ref_link"):
         return "" if kind != "ref_link" or body.startswith("[^") else body[1:body.index("]")]
     if kind == "fence":
         return mark("code", "\n".join(body.strip().split("\n")[1:]).rstrip("`~").rstrip())
@@ -431,8 +496,7 @@ def _render(kind: str, body: str, inner) -> str:
     if kind == "dollar_math":
         return body.strip("$").strip()
     if kind == "template":
-        parts = body[2:-2].split("|")
-        return f"{parts[1]} {parts[2]}" if parts[0].strip().lower() == "convert" and len(parts) > 2 else ""
+        return _template(body[2:-2], inner)
     if kind == "wiki_link":
         parts = body[2:-2].split("|")
         return "" if parts[0].lower().startswith(("category:",)) else parts[-1]
@@ -441,7 +505,8 @@ def _render(kind: str, body: str, inner) -> str:
     if kind == "link":
         return inner(1, body.index("]"))
     if kind == "url_link":
-        return body[1:-1].partition(" ")[2]
+        address, _, label = body[1:-1].partition(" ")
+        return label or address
     if kind == "command":
         name = re.match(r"\\([A-Za-z]+)", body).group(1)
         args = re.findall(r"\{((?:[^{}]|\{[^{}]*\})*)\}", body)
@@ -457,14 +522,17 @@ def _render(kind: str, body: str, inner) -> str:
             return args[-1]
         return inner(body.index("{") + 1, len(body) - 1)
     if kind == "bare_command":
-        return f"\n{_MARK['list']}" if body == "\\item" else ""
+        name = body[1:]
+        if name == "item":
+            return f"\n{_MARK['list']}"
+        return SYMBOLS.get(name) or ("\n" if name in _LINE_ENDS else "" if name in _LAYOUT else name)
     if kind == "escape":
         return body[1] if body[1] in "%&$#_{}" else " "
     if kind == "heading":
         return f"\n{_MARK['heading']}"
     if kind == "wiki_heading":
         return mark("heading", body.strip().strip("=").strip())
-    if kind == "star_bullet":
+    if kind in ("star_bullet", "dash_bullet"):
         return f"\n{_MARK['list']}"
     if kind == "quote":
         return ""
@@ -486,27 +554,30 @@ def _render(kind: str, body: str, inner) -> str:
 def _blocks(rendered: str) -> list[tuple[str, str]]:
     names = {v: k for k, v in _MARK.items()}
     out: list[tuple[str, str]] = []
-    kind, buffer = "text", ""
+    kind, buffer = "text", []
 
     def flush(k: str) -> None:
-        nonlocal buffer
+        held = "".join(buffer)
+        buffer.clear()
         if k in ("code", "table", "formula"):
-            s = "\n".join(ln.rstrip() for ln in buffer.strip("\n").split("\n")).strip("\n")
-            parts = [s]
+            parts = ["\n".join(ln.rstrip() for ln in held.strip("\n").split("\n")).strip("\n")]
         else:
-            parts = [re.sub(r"[ \t]*\n[ \t]*", "\n", re.sub(r"[ \t]{2,}", " ", p)).strip() for p in re.split(r"\n\s*\n", buffer)]
+            parts = [re.sub(r"[ \t]*\n[ \t]*", "\n", re.sub(r"[ \t]{2,}", " ", p)).strip() for p in re.split(r"\n\s*\n", held)]
         out.extend((k, p) for p in parts if p.strip())
-        buffer = ""
 
-    for ch in rendered:
-        if ch in names:
+    for piece in re.split(r"([\x01-\x06])", rendered):
+        if piece in names:
             flush(kind)
-            kind = "text" if names[ch] == "end" else names[ch]
-        elif ch == "\n" and kind in ("heading", "list"):
-            flush(kind)
-            kind = "text"
+            kind = "text" if names[piece] == "end" else names[piece]
+        elif kind in ("heading", "list"):
+            head, newline, rest = piece.partition("\n")
+            buffer.append(head)
+            if newline:
+                flush(kind)
+                kind = "text"
+                buffer.append(rest)
         else:
-            buffer += ch
+            buffer.append(piece)
     flush(kind)
     return out
 
@@ -519,32 +590,36 @@ def clean(text: str | None, model: Model, threshold: float = 0.5) -> Cleaned:
     if len(nodes) == 1:
         return Cleaned(False, 0.0, text, [("text", text)])
     marg, _ = model.marginals(nodes)
-    marked = [(nd, p) for nd, p in zip(nodes, marg) if nd.kind not in ("root", "line")]
+    marked = [(nd, p) for nd, p in zip(nodes, marg) if nd.kind not in _UPPER]
     score = max((p for _, p in marked), default=0.0)
     if score < threshold:
         return Cleaned(False, score, text, [("text", text)])
-    children: dict[tuple[int, int], Node] = {}
-    chosen = sorted(((nd.start, -nd.end, nd) for nd, p in marked if p >= threshold), key=lambda x: x[:2])
-    for s, e, nd in chosen:
-        children.setdefault((s, -e), nd)
-    spans = sorted(children.values(), key=lambda nd: (nd.start, -nd.end))
-    gone = [m.span() for m in _DROPPED.finditer(text)]
-
-    def render(lo: int, hi: int) -> str:
-        out, at = "", lo
-        for nd in spans:
-            if nd.start < at or nd.end > hi or nd.start < lo or (nd.start, nd.end) == (lo, hi):
-                continue
-            cut = next((g for g in gone if g[0] <= nd.start < g[1]), None)
-            out += text[at:nd.start]
-            if cut:
-                at = max(nd.end, cut[1])
+    chosen = sorted((nd for nd, p in marked if p >= threshold), key=lambda nd: (nd.start, -nd.end))
+    inside: dict[int, list[Node]] = {-1: []}  # outermost constructs within each chosen one, by its number
+    stack: list[int] = []
+    kept: list[Node] = []
+    for nd in chosen:
+        while stack and kept[stack[-1]].end <= nd.start:
+            stack.pop()
+        above = stack[-1] if stack else -1
+        if above >= 0 and (nd.end > kept[above].end or (nd.start, nd.end) == (kept[above].start, kept[above].end)):
+            continue
+        inside[above].append(nd)
+        inside[len(kept)] = []
+        nd.number = len(kept)
+        stack.append(len(kept))
+        kept.append(nd)
+
+    def render(lo: int, hi: int, above: int) -> str:
+        out, at = [], lo
+        for nd in inside[above]:
+            if nd.start < at or nd.end > hi:
                 continue
-            out += _render(nd.kind, nd.text, lambda a, b, base=nd.start: render(base + a, base + b))
+            out += [text[at:nd.start], _render(nd.kind, nd.text, lambda a, b, base=nd.start, me=nd.number: render(base + a, base + b, me))]
             at = nd.end
-        return out + text[at:hi]
+        return "".join([*out, text[at:hi]])
 
-    blocks = _blocks(render(0, len(text)))
+    blocks = _blocks(render(0, len(text), -1))
     lines = [("- " + b if k == "list" else b) for k, b in blocks]
     return Cleaned(True, score, "\n".join(lines), blocks)
 

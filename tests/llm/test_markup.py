@@ -32,6 +32,64 @@ def test_held_out_pages(model):
     assert right / total >= 0.98
 
 
+# Labelled by hand, in words the training pages don't have: what stands between ⟦ and ⟧ is markup.
+HAND = ["⟦<gear>⟧down⟦</gear>⟧ and locked", "press <gear> to go on", "press <gear> or <keel> to go on", "⟦<keel>⟧⟦<b>⟧old⟦</b>⟧⟦</keel>⟧", "Hull plates [4] and [5] were lost.", "Hull plates⟦<sup>⟧⟦[4]⟧⟦</sup>⟧ were lost.",
+        "⟦\\section{Hull}⟧\nIts draught ⟦$d$⟧ grows.", "It cost $d and d$ more.", "⟦# ⟧Hull\n⟦- ⟧plates\n⟦- ⟧ribs", "- plates and ribs", "⟦<pre>⟧a[4] = $b$ &amp; *c*⟦</pre>⟧", "⟦<code>⟧x_y [7]⟦</code>⟧ is read.", "⟦<rib>⟧⟦<keel>⟧oak⟦</keel>⟧⟦</rib>⟧"]
+
+
+def labelled(page):
+    text, spans, begin = "", [], None
+    for ch in page:
+        if ch == "⟦":
+            begin = len(text)
+        elif ch == "⟧":
+            spans.append((begin, len(text)))
+        else:
+            text += ch
+    return text, spans
+
+
+def wrong_nodes(model, pages):
+    wrong = 0
+    for text, spans in pages:
+        nodes = markup.lex(text)
+        for nd, p in zip(nodes, model.marginals(nodes)[0]):
+            if nd.kind not in markup._UPPER:
+                gold = (nd.start, nd.end) in spans if nd.kind in markup._PLAIN else any(a <= nd.start < b for a, b in spans)
+                wrong += (p >= 0.5) != gold
+    return wrong
+
+
+def test_parent_child_potentials_decide(model):
+    """Without them, refitted or not, more nodes are wrong on pages of another seed and on pages in other words."""
+    pages, by_hand = list(markup.labelled_pages(300, 99)), [labelled(p) for p in HAND]
+    zeroed, refitted = markup.Model(model.unary, {}), markup.train(pairs=False)
+    assert wrong_nodes(model, by_hand) <= 2 and min(wrong_nodes(m, by_hand) for m in (zeroed, refitted)) >= 10
+    assert 2 * wrong_nodes(model, pages) < min(wrong_nodes(m, pages) for m in (zeroed, refitted))
+    text = "# Hull\n- plates\n- ribs"
+    assert [k for k, _ in markup.clean(text, model).blocks] == ["heading", "list", "list"] and markup.clean(text, refitted).text != markup.clean(text, model).text
+
+
+@pytest.mark.parametrize("text,clean", [
+    ("\\textbf{a}: 5 \\times 3 m and \\pm 2 \\degree", "a: 5 × 3 m and ± 2 °"), ("the {{lang|fr|Rafale}} and {{convert|5|km|nmi}}", "the Rafale and 5 km"),
+    ("<b>x</b> y<ref>log 4</ref>.", "x y (log 4)."), ("{{cite book|title=Masts|page=3}} <i>b</i>", "(Masts) b"), ("[https://a.example] <b>c</b>", "https://a.example c"),
+    ("<script>var a = 1;</script><p>text</p>", "text"), ("{{small|a {{lang|de|Öl}} b}} <b>c</b>", "a Öl b c"), ("\\textbf{x}\\newline y \\alpha", "x\ny α")])
+def test_content_is_kept(model, text, clean):
+    assert markup.clean(text, model).text == clean
+
+
+def test_many_spans_take_linear_time(model):
+    import time
+
+    seconds = []
+    for n in (4000, 16_000):
+        begin = time.time()
+        got = markup.clean("<b>a</b> b *c* " * n, model)
+        seconds.append(time.time() - begin)
+        assert got.text.count("a b c") == n
+    assert seconds[1] < 8 * seconds[0] + 1
+
+
 def test_message_passing_equals_enumeration(model):
     import itertools
     import math
@@ -41,7 +99,7 @@ def test_message_passing_equals_enumeration(model):
     weight = {}
     for labels in itertools.product((0, 1), repeat=n):
         s = sum(model.unary.get(f, 0.0) for nd, y in zip(nodes, labels) if y for f in nd.features)
-        s += sum(model.pair.get(model.group(nodes[nd.parent]), [0.0] * 4)[2 * labels[nd.parent] + y] for nd, y in zip(nodes, labels) if nd.parent >= 0)
+        s += sum(model.pair.get(model.group(nodes[nd.parent], nd), [0.0] * 4)[2 * labels[nd.parent] + y] for nd, y in zip(nodes, labels) if nd.parent >= 0)
         weight[labels] = math.exp(s)
     z = sum(weight.values())
     exact = [sum(w for k, w in weight.items() if k[i]) / z for i in range(n)]
