@@ -67,7 +67,7 @@ def test_parent_child_potentials_decide(model):
     assert wrong_nodes(model, by_hand) <= 2 and min(wrong_nodes(m, by_hand) for m in (zeroed, refitted)) >= 10
     assert 2 * wrong_nodes(model, pages) < min(wrong_nodes(m, pages) for m in (zeroed, refitted))
     text = "# Hull\n- plates\n- ribs"
-    assert [k for k, _ in markup.clean(text, model).blocks] == ["heading", "list", "list"] and markup.clean(text, refitted).text != markup.clean(text, model).text
+    assert [k for k, _ in markup.clean(text, model).blocks] == ["heading", "list", "list"] and markup.clean(text, refitted).blocks != markup.clean(text, model).blocks
 
 
 @pytest.mark.parametrize("text,clean", [
