@@ -28,7 +28,7 @@ def p7_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_hierarchy(spark, sf_dir).select("node_id", "root_id", "depth")
+    return hierarchy.depths(table(spark, sf_dir, "record_relations"))
 
 
 def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,20 @@ raw AS (
 """
 
 ORACLES: dict[str, str] = {
+    "p7_hierarchy": f"""WITH RECURSIVE {_EDGES}, lists AS (
+  SELECT *, string_split(path, '/') AS steps FROM tree
+), placed AS (
+  SELECT node_id, root_id, depth, row_number() OVER (PARTITION BY root_id ORDER BY steps) - 1 AS i, count(*) OVER (PARTITION BY root_id) AS n FROM lists
+), below AS (
+  SELECT u.node_id, count(*) AS m FROM (SELECT unnest(steps[:-2]) AS node_id FROM lists) u GROUP BY 1
+), spans AS (
+  SELECT p.*, coalesce(b.m, 0) AS m, 2 * (n - 1) AS arcs FROM placed p LEFT JOIN below b USING (node_id)
+)
+SELECT n.node_id, e.parent_id, coalesce(s.root_id, 'CYCLE') AS root_id, CAST(coalesce(s.depth, -1) AS INTEGER) AS depth,
+       CAST(CASE WHEN s.depth = 0 THEN -arcs - 1 ELSE -(arcs - (2 * i - s.depth) + 1) END AS BIGINT) AS entry,
+       CAST(CASE WHEN s.depth = 0 THEN 0 ELSE -(arcs - (2 * i - s.depth + 2 * m + 1) + 1) END AS BIGINT) AS exit,
+       CAST(s.m AS BIGINT) AS n_descendants
+FROM nodes n LEFT JOIN edges e USING (node_id) LEFT JOIN spans s USING (node_id)""",
     "p7_found": f"""WITH RECURSIVE {_EDGES}
 SELECT n.node_id, coalesce(t.root_id, 'CYCLE') AS root_id, CAST(coalesce(t.depth, -1) AS INTEGER) AS depth
 FROM nodes n LEFT JOIN tree t USING (node_id)""",

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def session(app: str = "orrery", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,11 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (unit tests, a laptop) a temporary folder is used.
+    Only where that setting is absent and all executors run in this process (tests, a laptop) a
+    temporary folder is used; a cluster without the setting is an error.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="orrery-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,6 +57,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        self.schemas: dict[str, StructType] = {}
 
     def put(self, df: DataFrame, partition_by: str | None = None) -> DataFrame:
         return self.read(self.write(df, partition_by))
@@ -60,6 +65,7 @@ class Scratch:
     def write(self, df: DataFrame, partition_by: str | None = None) -> str:
         path = f"{self.root}/{self.count}"
         self.count += 1
+        self.schemas[path] = df.schema
         writer = df.write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(partition_by)
@@ -67,7 +73,8 @@ class Scratch:
         return path
 
     def read(self, path: str) -> DataFrame:
-        return self.spark.read.parquet(path)
+        # the schema is known, so no job has to look for it; column order of a partitioned table would differ
+        return self.spark.read.schema(self.schemas[path]).parquet(path)
 
     def drop(self, path: str) -> None:
         jvm = self.spark._jvm
