@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import functions as F
 
-from orrery.operators import evidence, fields, filters, retrieval
+from orrery.operators import evidence, fields, filters, names, retrieval
 from orrery.plans import planner, prompt
 from orrery.sources.index import Index
 
@@ -61,12 +61,31 @@ def extract_filter(question: str, spec: str, model: Callable[[str, str], str], r
     return {}, "parse_failed"
 
 
+def aliases_of(index: Index, question: str, threshold: int) -> dict[str, list[str]]:
+    """Aliases that matter for one question: those that it mentions, and families whose letters stand in it.
+
+    Found by a join with the question's words, so the alias table never reaches the driver; of a family
+    one member more than ``threshold`` times eight is enough to know it's ambiguous and to list it.
+    """
+    asked = index.spark.createDataFrame([("q", question)], "key string, text string")
+    named = names.mentions(asked, "key", "text", index.aliases).select("alias", "rid")
+    letters = {t.text for t in planner.read(question) if t.text.isalpha() and len(t.text) <= 4 and question[t.start:t.end].isupper()}
+    out: dict[str, set[str]] = {}
+    for r in named.toLocalIterator():
+        out.setdefault(r["alias"], set()).add(r["rid"])
+    if letters:
+        kin = index.aliases.where(F.regexp_extract("alias", r"^([a-z]+)[- ]?\d", 1).isin(sorted(letters))).select("alias", "rid").orderBy("alias", "rid").limit(8 * (threshold + 1))
+        for r in kin.collect():
+            out.setdefault(r["alias"], set()).add(r["rid"])
+    return {a: sorted(rids) for a, rids in out.items()}
+
+
 def prepare(index: Index, question: str, embed: Callable[[str], list[float]], explicit: dict | None = None, k: int = 4, mode: str = "auto",
             max_context_tokens: int | None = 3000, min_rel: float = 0.0, threshold: int = 8, field_aliases: dict[str, str] | None = None,
             filter_model: Callable[[str, str], str] | None = None) -> Answer:
     """Everything up to generation. Unknown designations, bare families, exact lookups and subjective criteria stop early."""
     catalogue = index.catalogue_map()
-    aliases = {r["alias"]: sorted(r["rids"]) for r in index.aliases.groupBy("alias").agg(F.collect_set("rid").alias("rids")).toLocalIterator()}
+    aliases = aliases_of(index, question, threshold)
     plan = planner.plan(question, catalogue, aliases, field_aliases, explicit)
     shown = asdict(plan) | {"complete": plan.complete}
     titles = index.records.select("rid", "title")
@@ -74,8 +93,8 @@ def prepare(index: Index, question: str, embed: Callable[[str], list[float]], ex
         return Answer("unknown_designation", f"No record matches {', '.join(unknown)}.", plan=shown)
     family = planner.ambiguous_family(question, aliases, threshold)
     if family:
-        names = [r["title"] for r in titles.where(F.col("rid").isin(family[1])).collect()]
-        return Answer("clarification_required", planner.disambiguation(family[0], names), plan=shown)
+        kin = [r["title"] for r in titles.where(F.col("rid").isin(family[1])).collect()]
+        return Answer("clarification_required", planner.disambiguation(family[0], kin), plan=shown)
     pins = [rid for rid, _ in plan.entities]
     if plan.route == "exact_entity_field":
         row = evidence.direct_value(index.params, index.fields, pins[0], plan.fields[0]).first()
@@ -115,14 +134,14 @@ def prepare(index: Index, question: str, embed: Callable[[str], list[float]], ex
                 F.array_join(F.sort_array(F.collect_set(F.coalesce("str", F.col("num").cast("string")))), ", ").alias("value")))
         columns = planner.table_columns(question, clauses, catalogue, plan.fields)
         numeric = [c for c in columns if catalogue.get(c, {}).get("type") == "numeric"]
-        rows = [r.asDict() for r in evidence.record_table(titles, cells, columns, numeric, ascending=bool(planner.LOW.search(question)), eligible=scope).collect()]
+        rows = [r.asDict() for r in evidence.record_table(titles, cells, columns, numeric, ascending=planner.ascending(question), eligible=scope).collect()]
         table_rows = {"rows": rows, "columns": columns, "total": rows[0]["total"] if rows else 0}
     elif ok is not None:
         seen = index.spark.createDataFrame([(c["rid"],) for c in contexts] or [("",)], "parent_rid string")
         best = retrieval.digest(filters.eligible_passages(passages, ok), "parent_rid", "embedding", vector, "row_id", exclude=seen).join(passages.select("row_id", "title", "text"), "row_id").collect()
         digest_rows = {"entries": [{"rid": b["parent_rid"], "title": b["title"], "snippet": b["text"][:200]} for b in best], "remaining": max(0, (matched or 0) - len(contexts) - len(best))}
     relation = []
-    if pins and planner.RELATION.search(question):
+    if pins and planner.asks_relation(question):
         links = index.edges.select(F.coalesce("parent_id", "rid").alias("parent"), F.col("child_id").alias("child"), "relation_type").where("child is not null")
         relation = [r.asDict() for r in evidence.relation_rows(links, index.spark.createDataFrame([(p,) for p in pins], "rid string"), titles).collect()]
     text = prompt.build(question, contexts, table_rows, digest_rows, relation_rows=relation, most=max_context_tokens)

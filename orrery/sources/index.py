@@ -63,7 +63,7 @@ def build(spark: SparkSession, canon: DataFrame, units: DataFrame | None = None,
     made = catalogue.classify(both, own.where("upper(dtype) = 'LOV'").select(F.col("name").alias("field")))
     return {
         "records": canon.select("rid", "title", "prose", "media"), "params": own, "fields": both, "passages": passages, "edges": records.relations(canon),
-        "catalogue": made, "labels": catalogue.label_values(both), "aliases": names.alias_table(canon, "rid", "title", F.col("aliases")),
+        "catalogue": made, "labels": catalogue.label_values(both), "aliases": names.alias_table(canon, "rid", "title", F.col("aliases"), [*names.STOPWORDS, *names.common_words(canon, "title")]),
         "meta": spark.createDataFrame([("embedder", embedder), ("built", str(int(time.time())))], "key string, value string")}
 
 
