@@ -7,15 +7,18 @@ their outermost record-side rows. A family together with the variant, or with ye
 where the mention gives only those, then denotes a record.
 
 Assignment: a claim is assigned at most one record, the one of the greatest confidence, and none if
-two come equally close. A record may take many claims, because many claims speak of the same
-equipment; a one-to-one assignment would drop all but one of them.
+another comes within the margin. A record may take many claims, because many claims speak of the same
+equipment; a one-to-one assignment would drop all but one of them. Nor would it hold between records and
+clusters of equal mentions: one record is meant by its variant here, by its year or its maker there.
 """
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -45,8 +48,9 @@ _MAKER = re.compile(r"\b(?:made|built|produced|manufactured) by\s+(.{2,40}?)(?=\
 _ORIGIN = re.compile(r"\b(?:designed|developed|built|made|produced) in\s+([A-Z][a-z]+(?: [A-Z][a-z]+)*)")
 _FAMILY_TITLE = re.compile(r"^family:\s*|\s+(?:family|programme|program|series)$|\s*\((?:all )?variants?\)$", re.I)
 _WORD = re.compile(r"[a-z]+")
-#: Letters of the longest word that may be two names written together.
-LONGEST_GLUED = 40
+
+#: Rows of a sorted partition on average.
+ROWS_PER_TASK = 50_000
 
 
 def _number(text: str) -> int | None:
@@ -65,11 +69,12 @@ def _number(text: str) -> int | None:
     return total or None
 
 
-def parse_mention(text: str | None) -> dict:
-    """Code, variant and possible family names of a mention: every pair of adjacent words is one.
+def parse_mention(text: str | None, sizes: tuple[int, ...] = (2,), longest: int = 40) -> dict:
+    """Code, variant and possible family names of a mention: every run of as many words as families have is one.
 
-    Null and empty mentions give nothing. A single long word is also cut at each place where a new
-    name may begin, for names written together.
+    ``sizes`` and ``longest`` are the numbers of words and the letters of the longest family, as counted over
+    all records. Null and empty mentions give nothing. A single long word is also cut at each place where
+    a new name may begin, for names written together; what is longer than any family with its slips is none.
     """
     out: dict = {"code": None, "kind": None, "number": None, "names": []}
     if not text:
@@ -98,21 +103,22 @@ def parse_mention(text: str | None) -> dict:
         if swapped:
             names.append((swapped.group(2), swapped.group(1)))
         words = _WORD.findall(run)
-        names += list(zip(words, words[1:]))
-        for w in words:
-            if 9 <= len(w) <= LONGEST_GLUED:
+        for size in sizes:
+            names += list(zip(*(words[k:] for k in range(size))))
+        for w in words if 2 in sizes else ():
+            if 9 <= len(w) <= longest + 2:
                 names += [(w[:k], w[k:]) for k in range(4, len(w) - 3)]
     glued = re.findall(r"[A-Z][a-z]+(?=[A-Z][a-z])", cased)
     if glued:
         parts = re.findall(r"[A-Z][a-z]+", cased)
         names += [(a.lower(), b.lower()) for a, b in zip(parts, parts[1:])]
-    out["names"] = list(dict.fromkeys(f"{a} {b}" for a, b in names if 2 < len(a) <= LONGEST_GLUED and 2 < len(b) <= LONGEST_GLUED))
+    out["names"] = list(dict.fromkeys(" ".join(n) for n in names if min(map(len, n)) > 2 and sum(map(len, n)) <= longest + 2))
     return out
 
 
-def parse_claim(mention: str | None, title: str | None, quote: str | None) -> dict:
+def parse_claim(mention: str | None, title: str | None, quote: str | None, sizes: tuple[int, ...] = (2,), longest: int = 40) -> dict:
     """What mention, title and quote together say. The title fills what the mention leaves open."""
-    own, other = parse_mention(mention), parse_mention(_FAMILY_TITLE.sub("", title) if title else None)
+    own, other = parse_mention(mention, sizes, longest), parse_mention(_FAMILY_TITLE.sub("", title) if title else None, sizes, longest)
     got = {"code": own["code"], "kind": own["kind"], "number": own["number"], "names": own["names"],
            "title_names": other["names"], "title_kind": other["kind"], "title_number": other["number"], "code_title": other["code"]}
     text = html.unescape(quote) if quote else ""
@@ -135,51 +141,73 @@ def parse_claim(mention: str | None, title: str | None, quote: str | None) -> di
     return got
 
 
-def distance(a: str, b: str, most: int = 3) -> int:
-    """Edits with adjacent transpositions, cut off above ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            v = row[j - 1] if x == y else 1 + min(row[j - 1], row[j], new[-1])
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            new.append(v)
-        before, row = row, new
-        if min(row) > most:
-            return most + 1
-    return row[-1]
+@lru_cache(maxsize=100_000)
+def _letters(word: str) -> tuple[dict[str, int], int]:
+    """Places of each letter of a word as bit sets, and the set of its letters."""
+    at: dict[str, int] = {}
+    for i, ch in enumerate(word):
+        at[ch] = at.get(ch, 0) | 1 << i
+    kinds = 0
+    for ch in at:
+        kinds |= 1 << (ord(ch) & 63)
+    return at, kinds
 
 
-# Weights of the two words of a name in its similarity.
-WORD_WEIGHTS = (0.5, 0.5)
+def distance(a: str, b: str, most: int = 3) -> int:
+    """Edits with adjacent transpositions, cut off above ``most``; bit-parallel over the places of ``a``."""
+    if a == b:
+        return 0
+    if abs(len(a) - len(b)) > most or not a or not b:
+        return most + 1 if a and b or max(len(a), len(b)) > most else max(len(a), len(b))
+    (at, kinds), (_, others) = _letters(a), _letters(b)
+    if (kinds ^ others).bit_count() > 2 * most:  # an edit adds and removes at most one letter each
+        return most + 1
+    whole = (1 << len(a)) - 1
+    high = 1 << (len(a) - 1)
+    plus, minus, zero, last, d = whole, 0, 0, 0, len(a)
+    for ch in b:
+        here = at.get(ch, 0)
+        swap = (~zero & here) << 1 & last
+        zero = ((here & plus) + plus ^ plus) | here | minus | swap
+        up = minus | ~(zero | plus) & whole
+        down = zero & plus
+        d += 1 if up & high else -1 if down & high else 0
+        up = up << 1 | 1
+        plus = (down << 1 | ~(zero | up)) & whole
+        minus = up & zero & whole
+        last = here
+    return min(d, most + 1)
 
 
 def similarity(name: str, family: str) -> float:
-    """Weighted similarity of two two-word names; a cut-off word counts as its beginning."""
+    """Mean similarity of the words of two names of equally many words; a cut-off word counts as its beginning."""
+    ours, theirs = name.split(" "), family.split(" ")
+    if len(ours) != len(theirs):
+        return 0.0
     total, edits = 0.0, 0
-    for weight, w, f in zip(WORD_WEIGHTS, name.split(" "), family.split(" ")):
-        d = distance(w, f, 2)
-        if d > 2:
-            if len(w) >= 3 and len(w) < len(f) and f.startswith(w):
-                total += weight * (0.80 + 0.02 * len(w))
-                continue
-            return 0.0
-        if d and len(w) >= 3 and len(w) < len(f) and f.startswith(w):
-            total += weight * (0.80 + 0.02 * len(w))
+    for w, f in zip(ours, theirs):
+        if w == f:
+            total += 1
             continue
+        if 3 <= len(w) < len(f) and f.startswith(w):
+            total += 0.80 + 0.02 * len(w)
+            continue
+        d = distance(w, f, 2)
         edits += d
-        total += weight * (1 - d / max(len(f), 1))
-    return total if edits <= 2 else 0.0
+        if edits > 2:
+            return 0.0
+        total += 1 - d / len(f)
+    return total / len(ours)
+
+
+_DOUBLE, _VOWELS = re.compile(r"(.)\1+"), re.compile(r"[aeiouy]")
 
 
 def sort_keys(name: str) -> list[str]:
-    """Composite sort keys: words in order, words swapped, and the consonant skeletons of both orders."""
-    a, b = name.split(" ")
-    bones = lambda w: re.sub(r"(.)\1+", r"\1", re.sub(r"[aeiouy]", "", w))
-    return [f"0{a} {b}", f"1{b} {a}", f"2{bones(a)} {bones(b)} {a}", f"3{bones(b)} {bones(a)} {b}"]
+    """Composite sort keys: words in order, words reversed, and the consonant skeletons of both orders."""
+    words = name.split(" ")
+    bones = [_DOUBLE.sub(r"\1", _VOWELS.sub("", w)) for w in words]
+    return [f"0{name}", "1" + " ".join(words[::-1]), "2" + " ".join([*bones, words[0]]), "3" + " ".join([*bones[::-1], words[-1]])]
 
 
 def neighbourhood(names: DataFrame, families: DataFrame, scratch: Scratch, window: int = 6,
@@ -196,13 +224,17 @@ def neighbourhood(names: DataFrame, families: DataFrame, scratch: Scratch, windo
 
     left = names.select("name", F.explode(keyed("name")).alias("key"), F.lit(False).alias("ref"))
     right = families.select(F.col("family").alias("name"), F.explode(keyed("family")).alias("key"), F.lit(True).alias("ref"))
-    n = parallelism(scratch.spark)
-    ordered = scratch.put(left.unionByName(right).repartitionByRange(n, "key").withColumn("pid", F.spark_partition_id()))
+    keys = scratch.put(left.unionByName(right))
+    n = max(parallelism(scratch.spark), keys.count() // ROWS_PER_TASK)
+    ordered = scratch.put(keys.repartitionByRange(n, "key").withColumn("pid", F.spark_partition_id()))
     by = Window.partitionBy("pid", F.substring("key", 1, 1))
     edge = ordered.where("ref").select(
         "pid", "key", "name", F.row_number().over(by.orderBy("key")).alias("a"),
         F.row_number().over(by.orderBy(F.desc("key"))).alias("z")).where(f"a <= {window} or z <= {window}")
     border = sorted((r["pid"], r["key"], r["name"]) for r in edge.select("pid", "key", "name").collect())
+    by_order: dict[str, list[tuple[int, str, str]]] = {}
+    for row in border:
+        by_order.setdefault(row[1][0], []).append(row)
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pid = int(pdf["pid"].iloc[0])
@@ -210,8 +242,11 @@ def neighbourhood(names: DataFrame, families: DataFrame, scratch: Scratch, windo
         out: dict[tuple[str, str], float] = {}
         for order in sorted({k[0] for k, _, _ in rows}):
             inner = [r for r in rows if r[0][0] == order]
-            before = [(k, True, nm) for p, k, nm in border if p < pid and k[0] == order][-window:]
-            after = [(k, True, nm) for p, k, nm in border if p > pid and k[0] == order][:window]
+            edges = by_order.get(order, [])
+            at = bisect.bisect_left(edges, (pid,))
+            before = [(k, True, nm) for _, k, nm in edges[max(0, at - window):at]]
+            at = bisect.bisect_left(edges, (pid + 1,))
+            after = [(k, True, nm) for _, k, nm in edges[at:at + window]]
             line = before + inner + after
             refs = [nm for _, is_ref, nm in line if is_ref]
             at = 0
@@ -225,7 +260,7 @@ def neighbourhood(names: DataFrame, families: DataFrame, scratch: Scratch, windo
         kept = [(a, b, s) for (a, b), s in out.items() if s >= least]
         return pd.DataFrame(kept, columns=["name", "family", "sim"])
 
-    pairs = ordered.groupBy("pid").applyInPandas(compare, "name string, family string, sim double")
+    pairs = ordered.repartitionByRange(n, "pid").groupBy("pid").applyInPandas(compare, "name string, family string, sim double")
     return pairs.dropDuplicates(["name", "family"])
 
 
@@ -233,7 +268,7 @@ _PARSED = ("claim_id long, code string, kind string, number int, names array<str
            "title_kind string, title_number int, year int, makers array<string>, country string")
 
 
-def parse_claims(claims: DataFrame) -> DataFrame:
+def parse_claims(claims: DataFrame, sizes: tuple[int, ...] = (2,), longest: int = 40) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("claim_id", pa.int64()), ("code", pa.string()), ("kind", pa.string()), ("number", pa.int32()),
@@ -242,7 +277,7 @@ def parse_claims(claims: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for cid, mention, title, quote in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                got = parse_claim(mention, title, quote)
+                got = parse_claim(mention, title, quote, sizes, longest)
                 got["code"] = got["code"] or got.pop("code_title", None)
                 rows.append({"claim_id": cid} | {k: got[k] for k in schema.names if k != "claim_id"})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -251,15 +286,20 @@ def parse_claims(claims: DataFrame) -> DataFrame:
 
 
 def catalogue(models: DataFrame) -> DataFrame:
-    """Distinct (model_id, family, kind, number, code, year, maker, country) over all releases."""
+    """Distinct (model_id, family, kind, number, code, year, maker, country) over all releases.
+
+    The name ends in a kind of variant and its number, or is a family as a whole; families have any number of words.
+    """
     name = F.lower(F.trim(F.regexp_replace("nomenclature", r"\s+", " ")))
-    pattern = r"^(\S+ \S+) (mk|block|lot|model) (\d+)$"
+    pattern = r"^(.*\S) (mk|block|lot|model) (\d+)$"
     code = F.lower(F.coalesce("primary_equip_code", F.regexp_extract("name", r"^([A-Z]+\d+)", 1)))
-    return models.select(
+    parts = models.select("*", name.alias("__name"))
+    varied = F.col("__name").rlike(pattern)
+    return parts.select(
         "model_id",
-        F.regexp_extract(name, pattern, 1).alias("family"), F.regexp_extract(name, pattern, 2).alias("kind"),
-        F.expr("try_cast(nullif(regexp_extract(lower(trim(regexp_replace(nomenclature, '\\\\s+', ' '))), "
-               "'^(\\\\S+ \\\\S+) (mk|block|lot|model) (\\\\d+)$', 3), '') as int)").alias("number"),
+        F.coalesce(F.when(varied, F.regexp_extract("__name", pattern, 1)).otherwise(F.col("__name")), F.lit("")).alias("family"),
+        F.when(varied, F.regexp_extract("__name", pattern, 2)).otherwise("").alias("kind"),
+        F.when(varied, F.expr("try_cast(regexp_extract(__name, '^(.*\\\\S) (mk|block|lot|model) (\\\\d+)$', 3) as int)")).alias("number"),
         F.concat(F.regexp_extract(code, r"^([a-z]+)0*(\d+)$", 1), F.regexp_extract(code, r"^([a-z]+)0*(\d+)$", 2)).alias("code"),
         F.col("ioc_year").cast("int").alias("year"), F.lower(F.trim("manufacturer")).alias("maker"),
         F.lower(F.trim("country_of_origin")).alias("country")).where("model_id is not null").distinct()
@@ -280,8 +320,9 @@ def match(claims: DataFrame, models: DataFrame, window: int = 6, margin: float =
     well (within ``margin``) and lead to different records leave a claim unassigned.
     """
     scratch = Scratch(claims.sparkSession, "entities")
-    parsed = scratch.put(parse_claims(claims).dropDuplicates(["claim_id"]))
     records = scratch.put(catalogue(models))
+    shape = records.where("family <> ''").agg(F.collect_set(F.size(F.split("family", " "))).alias("sizes"), F.max(F.length("family")).alias("longest")).first()
+    parsed = scratch.put(parse_claims(claims, tuple(sorted(shape["sizes"])), shape["longest"] or 0).dropDuplicates(["claim_id"]))
 
     by_code = parsed.join(_unique(records.where("code <> ''"), ["code"]), "code").select(
         "claim_id", "model_id", F.lit(1.0).alias("confidence"), F.lit("code").alias("evidence"))
@@ -339,7 +380,7 @@ def match(claims: DataFrame, models: DataFrame, window: int = 6, margin: float =
         (F.col("sim") * F.when(F.col("evidence") == "variant", 1.0).otherwise(0.9)).alias("confidence"))
     found = by_code.unionByName(both.select("claim_id", "model_id", "confidence", "evidence"))
     top = Window.partitionBy("claim_id").orderBy(F.desc("confidence"), "model_id")
-    whole = Window.partitionBy("claim_id")
-    return found.dropDuplicates(["claim_id", "model_id"]).withColumn("r", F.row_number().over(top)).withColumn(
-        "n", F.count("*").over(whole)).where("r = 1 and n = 1").select(
+    one = found.groupBy("claim_id", "model_id").agg(F.max(F.struct("confidence", "evidence")).alias("m")).select("claim_id", "model_id", "m.*")
+    return one.withColumn("r", F.row_number().over(top)).withColumn("second", F.lead("confidence").over(top)).where(
+        F.expr(f"r = 1 and (second is null or confidence - second >= {margin})")).select(
         "claim_id", "model_id", F.round("confidence", 4).alias("confidence"), "evidence")
