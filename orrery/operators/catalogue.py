@@ -87,9 +87,15 @@ def classify(fields: DataFrame, lov: DataFrame | None = None, exact: bool = True
         (F.col("any_list") == 1).alias("multi"), (F.col("any_interval") == 1).alias("intervals"))
 
 
-def label_values(fields: DataFrame) -> DataFrame:
-    """(field, values): sorted distinct labels of text values, intervals left out."""
-    return fields.where("kind = 'string' and str is not null").groupBy("field").agg(F.sort_array(F.collect_set(F.trim("str"))).alias("values"))
+def label_values(fields: DataFrame, most: int = 1000) -> DataFrame:
+    """(field, values): sorted distinct labels of text values, intervals left out.
+
+    A field with more than ``most`` distinct texts holds no labels but prose or names; it gets no row. So no
+    task ever gathers the texts of such a field.
+    """
+    distinct = fields.where("kind = 'string' and str is not null").select("field", F.trim("str").alias("v")).distinct()
+    few = distinct.groupBy("field").count().where(F.col("count") <= most).select("field")
+    return distinct.join(broadcast_if_small(few), "field", "left_semi").groupBy("field").agg(F.sort_array(F.collect_list("v")).alias("values"))
 
 
 def examples(fields: DataFrame, n: int = 2, size: int = 80) -> DataFrame:

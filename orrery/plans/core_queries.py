@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orrery.functions import values as V
 from orrery.operators import catalogue, enrich, evidence, fields, filters, names, quantities, retrieval
 from orrery.operators.hierarchy import plain_id
-from orrery.plans.runtime import Scratch, table
+from orrery.plans.runtime import Scratch, broadcast_if_small, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,13 +178,6 @@ def coerce_numeric(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("claim_id").agg(F.max(V.coerce_number(F.col("value_raw"))).alias("num"))
 
 
-@query("SELECT DISTINCT claim_id, round(least(a, b), 6) AS lo, round(greatest(a, b), 6) AS hi FROM (SELECT claim_id, TRY_CAST(regexp_extract(value_raw, '^\\s*([+-]?\\d+(?:\\.\\d*)?)\\s+to\\s+([+-]?\\d+(?:\\.\\d*)?)\\s*$', 1) AS DOUBLE) AS a, "
-       "TRY_CAST(regexp_extract(value_raw, '^\\s*([+-]?\\d+(?:\\.\\d*)?)\\s+to\\s+([+-]?\\d+(?:\\.\\d*)?)\\s*$', 2) AS DOUBLE) AS b FROM claims) WHERE a IS NOT NULL AND b IS NOT NULL")
-def parse_interval(spark: SparkSession, sf: str) -> DataFrame:
-    plain = table(spark, sf, "claims").select("claim_id", V.parse_interval(F.col("value_raw")).alias("i")).where("i is not null")
-    return plain.select("claim_id", F.round("i.lo", 6).alias("lo"), F.round("i.hi", 6).alias("hi")).distinct()
-
-
 @query("SELECT year(TRY_CAST(created_date AS DATE)) AS year, count(*) AS n FROM models WHERE TRY_CAST(created_date AS DATE) IS NOT NULL GROUP BY 1")
 def parse_date(spark: SparkSession, sf: str) -> DataFrame:
     dated = table(spark, sf, "models").select(V.parse_date(F.col("created_date")).alias("d")).where("d is not null")
@@ -223,6 +216,15 @@ def typed_params(spark: SparkSession, sf: str) -> DataFrame:
     return typed.groupBy("field").agg(F.count("*").alias("n"), F.sum(F.col("num").isNotNull().cast("long")).alias("numbers"))
 
 
+@query("SELECT user_id, round(min(value), 2) AS lo, round(max(value), 2) AS hi FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING min(value) IS NOT NULL")
+def parse_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """The range of each user's values, written as text with the bounds in either order, and read back."""
+    e = table(spark, sf, "events").where("user_id is not null").groupBy("user_id").agg(F.round(F.min("value"), 2).alias("a"), F.round(F.max("value"), 2).alias("z"))
+    text = F.when(F.col("user_id") % 2 == 0, F.concat_ws(" to ", F.col("a").cast("string"), F.col("z").cast("string"))).otherwise(
+        F.concat_ws(" to ", F.col("z").cast("string"), F.col("a").cast("string")))
+    return e.where("a is not null").select("user_id", V.parse_interval(text).alias("i")).select("user_id", F.col("i.lo").alias("lo"), F.col("i.hi").alias("hi"))
+
+
 # --- filters --------------------------------------------------------------------------------------
 
 @query(f"WITH {_RECORDS} SELECT DISTINCT rid FROM fld WHERE field = 'Maximum range' AND num >= 100 AND num <= 500")
@@ -380,22 +382,16 @@ def hybrid_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.retrieve(records, "redundant gearbox winter patrols", list(start[0]), k=6, mode="soft", eligible=ok, pins=pins, n_pins=1, max_per_parent=2)
 
 
-@query("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, CAST(sum(greatest(1, length(text) // 4)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents WHERE source = 'glossary_card' AND text IS NOT NULL QUALIFY used <= 2000")
-def budget_pack(spark: SparkSession, sf: str) -> DataFrame:
-    return _packed(table(spark, sf, "documents").where("source = 'glossary_card'"))
+BUDGET = 2000
 
 
-@query()
+@query(f"SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens, CAST(sum(greatest(1, length(text) // 4)) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM documents WHERE text IS NOT NULL QUALIFY used <= {BUDGET}")
 def budget_pack_all(spark: SparkSession, sf: str) -> DataFrame:
-    """The budget over documents of all sources, unlike the SQL's one source; tested against plain code."""
-    return _packed(table(spark, sf, "documents"))
-
-
-def _packed(documents: DataFrame) -> DataFrame:
-    docs = documents.where("text is not null").select("doc_id", V.estimated_tokens(F.col("text")).alias("tokens"))
-    docs = docs.orderBy("doc_id").limit(2000)  # each text has at least one token, so no more can fit
+    """Documents in order of id until the budget is used."""
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", V.estimated_tokens(F.col("text")).alias("tokens"))
+    docs = docs.orderBy("doc_id").limit(BUDGET)  # a text has at least one token, so no more texts than tokens can fit
     used = F.sum("tokens").over(Window.orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return docs.withColumn("used", used).where("used <= 2000")
+    return docs.withColumn("used", used).where(f"used <= {BUDGET}")
 
 
 # --- evidence -------------------------------------------------------------------------------------
@@ -411,30 +407,19 @@ def reverse_edges(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.fitted_to(evidence.edges(table(spark, sf, "record_relations"), plain_id), records_of(spark, sf).select("rid", "title"))
 
 
-@query(f"WITH {_LINKS}, seeds AS (SELECT rid, title FROM ttl ORDER BY rid LIMIT 40), n AS (SELECT child AS rid, relation_type || ': ' || title AS label FROM links JOIN seeds ON seeds.rid = parent UNION ALL "
-       "SELECT parent, relation_type || ': ' || title FROM links JOIN seeds ON seeds.rid = child) SELECT rid, string_agg(DISTINCT label, '; ' ORDER BY label) AS labels FROM n WHERE rid IN (SELECT rid FROM ttl) AND rid NOT IN (SELECT rid FROM seeds) GROUP BY rid")
-def related_one_hop(spark: SparkSession, sf: str) -> DataFrame:
-    titles = records_of(spark, sf).select("rid", "title")
-    return evidence.related(evidence.edges(table(spark, sf, "record_relations"), plain_id), titles.orderBy("rid").limit(40), titles)
-
-
-@query(f"WITH {_LINKS}, seeds AS (SELECT rid FROM ttl ORDER BY rid LIMIT 40), b AS (SELECT *, parent NOT IN (SELECT rid FROM seeds) AS reversed FROM links WHERE parent IN (SELECT rid FROM seeds) OR child IN (SELECT rid FROM seeds)), "
-       "t AS (SELECT * FROM b ORDER BY parent, child, relation_type LIMIT 12) SELECT parent, child, relation_type, reversed, coalesce(p.title, parent) AS parent_title, coalesce(c.title, child) AS child_title FROM t LEFT JOIN ttl p ON p.rid = parent LEFT JOIN ttl c ON c.rid = child")
-def relation_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    titles = records_of(spark, sf).select("rid", "title")
-    return evidence.relation_rows(evidence.edges(table(spark, sf, "record_relations"), plain_id), titles.orderBy("rid").limit(40), titles)
-
-
-@query()
+@query(f"WITH {_LINKS}, n AS (SELECT parent AS seed, child AS rid, relation_type FROM links UNION ALL SELECT child, parent, relation_type FROM links) "
+       "SELECT seed, n.rid, string_agg(DISTINCT concat_ws(': ', relation_type, s.title), '; ' ORDER BY concat_ws(': ', relation_type, s.title)) AS labels FROM n JOIN ttl s ON s.rid = seed JOIN ttl o ON o.rid = n.rid WHERE seed <> n.rid GROUP BY seed, n.rid")
 def related_one_hop_each(spark: SparkSession, sf: str) -> DataFrame:
-    """The neighbours of every record, not of the SQL's first 40 only; tested against plain code."""
+    """The neighbours of every record with the relations that lead to them."""
     titles = records_of(spark, sf).select("rid", "title")
     return evidence.related_each(evidence.edges(table(spark, sf, "record_relations"), plain_id), titles, titles)
 
 
-@query()
+@query(f"WITH {_LINKS}, b AS (SELECT parent AS seed, * FROM links UNION ALL SELECT child, * FROM links WHERE child <> parent), "
+       "t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY parent, child, relation_type) AS rn FROM b WHERE seed IN (SELECT rid FROM ttl)) WHERE rn <= 12) "
+       "SELECT seed, parent, child, relation_type, parent <> seed AS reversed, coalesce(p.title, parent) AS parent_title, coalesce(c.title, child) AS child_title FROM t LEFT JOIN ttl p ON p.rid = parent LEFT JOIN ttl c ON c.rid = child")
 def relation_evidence_each(spark: SparkSession, sf: str) -> DataFrame:
-    """Up to 12 edges of every record, not of the SQL's first 40 only; tested against plain code."""
+    """Up to 12 edges of every record, the limit of the operator."""
     titles = records_of(spark, sf).select("rid", "title")
     return evidence.relation_rows_each(evidence.edges(table(spark, sf, "record_relations"), plain_id), titles, titles)
 
@@ -462,16 +447,13 @@ def direct_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- names ----------------------------------------------------------------------------------------
 
-@query("SELECT alias, rid FROM (SELECT lower(title) AS alias, rid FROM t UNION SELECT lower(w), rid FROM (SELECT rid, unnest(string_split(title, ' ')) AS w FROM t) WHERE length(w) >= 3 AND lower(w) NOT IN ('the','and','for','with','type','model','block','lot','class','family','system')) WHERE length(alias) >= 2".replace(
-    "FROM (SELECT lower(title)", "FROM (WITH t AS (SELECT CAST(model_id AS VARCHAR) AS rid, trim(regexp_replace(min_by(nomenclature, release_id), '\\s+', ' ', 'g')) AS title FROM models GROUP BY model_id) SELECT lower(title)"))
-def alias_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The aliases that the SQL states: without designations such as 'Mk 9'. ``alias_table_whole`` has all."""
-    return alias_table_whole(spark, sf).where(~F.col("alias").rlike(r"^(?:mk|lot) ?\d+$"))
-
-
-@query()
+@query("WITH t AS (SELECT CAST(model_id AS VARCHAR) AS rid, trim(regexp_replace(min_by(nomenclature, release_id), '\\s+', ' ', 'g')) AS title FROM models GROUP BY model_id), "
+       f"a AS (SELECT title AS alias, rid FROM t UNION ALL SELECT unnest(regexp_extract_all(title, '{names.DESIGNATION}')), rid FROM t UNION ALL SELECT unnest(regexp_extract_all(title, '\\(([^)]+)\\)', 1)), rid FROM t "
+       "UNION ALL SELECT trim(unnest(string_split(title, ','))), rid FROM t UNION ALL SELECT w, rid FROM (SELECT unnest(regexp_split_to_array(regexp_replace(title, '[(),]', ' ', 'g'), '\\s+')) AS w, rid FROM t) "
+       f"WHERE lower(w) NOT IN ({', '.join(repr(w) for w in names.STOPWORDS)}) AND (length(w) >= 3 OR regexp_matches(w, '{names.DESIGNATION}'))) "
+       "SELECT DISTINCT lower(trim(alias)) AS alias, rid FROM a WHERE length(trim(alias)) >= 2")
 def alias_table_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All aliases of the catalogue's names, designations included; tested against plain code."""
+    """All aliases of the catalogue's names, designations included."""
     return names.alias_table(records_of(spark, sf), "rid", "title")
 
 
@@ -527,13 +509,7 @@ def content_hash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.distinct_documents(table(spark, sf, "documents"))
 
 
-@query("SELECT doc_id, content_hash FROM documents WHERE content_hash NOT IN (SELECT content_hash FROM documents WHERE doc_id % 2 = 0 AND content_hash IS NOT NULL)")
-def anti_seen(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("content_hash is not null").select("doc_id", "content_hash")
-    return enrich.unseen(docs, docs.where("doc_id % 2 = 0")).select("doc_id", "content_hash")
-
-
-@query()
+@query("WITH d AS (SELECT doc_id, content_hash, coalesce(ingested_at < TIMESTAMP '2024-01-01', false) AS early FROM documents) SELECT doc_id, content_hash FROM d WHERE NOT early AND NOT EXISTS (SELECT 1 FROM d e WHERE e.early AND e.content_hash = d.content_hash)")
 def anti_seen_dates(spark: SparkSession, sf: str) -> DataFrame:
     """Documents ingested from 2024 on, or undated, whose hash no earlier document has: each document is seen or incoming."""
     docs = table(spark, sf, "documents").select("doc_id", "content_hash", F.coalesce(F.col("ingested_at") < "2024-01-01", F.lit(False)).alias("early"))
@@ -616,7 +592,7 @@ def claim_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """The decisions over all claims: grounded, compared, decided; (claim_id, decision, reason). Steps not built are in the README."""
     ref = table(spark, sf, "field_ref")
     kinds = ref.select("canon_field", (F.col("data_type") == "Number").alias("field_numeric"), F.col("canonical_unit").alias("field_unit"))
-    c = table(spark, sf, "claims").dropDuplicates(["claim_id"]).join(F.broadcast(kinds), "canon_field", "left")
+    c = table(spark, sf, "claims").dropDuplicates(["claim_id"]).join(broadcast_if_small(kinds), "canon_field", "left")
     read = quantities.stated(c, ref)
     stored = fields.from_params(fields.param_lines(table(spark, sf, "records"))).where("num is not null").select("rid", "field", "lo", "hi")
     ready = enrich.ground(c.join(read, "claim_id", "left").withColumn("rid", F.col("model_id")).withColumn("field", F.col("canon_field")))
@@ -636,18 +612,12 @@ def eval_hit_rate(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.hit_rates(cases)
 
 
-@query(f"WITH {_CLUSTERS}, e AS (SELECT * FROM c WHERE claim_id % 2 = 0), f AS (SELECT * FROM c WHERE claim_id % 3 = 0), "
+@query(f"WITH {_CLUSTERS}, e AS (SELECT * FROM c WHERE coalesce(run_id, 0) <= 2), f AS (SELECT * FROM c WHERE coalesce(run_id, 0) > 2), "
        "p AS (SELECT e.claim_id AS ei, f.claim_id AS fi FROM e JOIN f ON e.status = f.status AND e.model_id = f.model_id AND e.canon_field = f.canon_field AND abs(f.value_norm - e.value_norm) <= 0.03 * abs(e.value_norm)), "
        "a AS (SELECT status AS type, sum(CASE WHEN claim_id IN (SELECT ei FROM p) THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN claim_id IN (SELECT ei FROM p) THEN 0 ELSE 1 END) AS fn FROM e GROUP BY 1), "
        "b AS (SELECT status AS type, sum(CASE WHEN claim_id IN (SELECT fi FROM p) THEN 0 ELSE 1 END) AS fp FROM f GROUP BY 1) "
        "SELECT type, CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(coalesce(fp, 0) AS BIGINT) AS fp, CAST(coalesce(fn, 0) AS BIGINT) AS fn, CASE WHEN coalesce(tp,0)+coalesce(fp,0) > 0 THEN round(coalesce(tp, 0) / (coalesce(tp, 0) + coalesce(fp, 0)), 4) END AS precision, "
        "CASE WHEN coalesce(tp,0)+coalesce(fn,0) > 0 THEN round(coalesce(tp, 0) / (coalesce(tp, 0) + coalesce(fn, 0)), 4) END AS recall FROM a FULL OUTER JOIN b USING (type)")
-def precision_recall(spark: SparkSession, sf: str) -> DataFrame:
-    c = _clustered(spark, sf).select(F.col("status").alias("type"), F.col("model_id").alias("rid"), F.col("canon_field").alias("field"), F.col("value_norm").alias("value"), F.col("claim_id").alias("id"))
-    return enrich.evaluate_proposals(c.where("id % 2 = 0"), c.where("id % 3 = 0"))
-
-
-@query()
 def precision_recall_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Claims of later runs against those of the first two, as in ``upsert_documents``: each valid claim is on one side."""
     c = _clustered(spark, sf).select(F.col("status").alias("type"), F.col("model_id").alias("rid"), F.col("canon_field").alias("field"), F.col("value_norm").alias("value"), F.col("claim_id").alias("id"),

@@ -68,13 +68,19 @@ def build(spark: SparkSession, canon: DataFrame, units: DataFrame | None = None,
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], directory: str) -> str:
-    """Write a new version, check it, point CURRENT to it; returns the version."""
+    """Write a new version, check all its tables, point CURRENT to it; returns the version.
+
+    The pointer is replaced by one overwriting rename, so a reader finds the old version or the new one.
+    """
     version = f"v{time.time_ns()}"
     staged = f"{directory.rstrip('/')}/{version}"
     path, fs = _fs(spark, staged)
     try:
         for name, df in tables.items():
             df.write.parquet(f"{staged}/{name}")
+        for name, df in tables.items():
+            if spark.read.parquet(f"{staged}/{name}").columns != df.columns:
+                raise CatalogueError(f"table {name} is incomplete")
         if spark.read.parquet(f"{staged}/records").limit(1).count() == 0:
             raise CatalogueError("no records")
     except Exception:
@@ -85,12 +91,25 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], directory: str) -
     out = fs.create(fresh, True)
     out.write(bytearray(version.encode()))
     out.close()
-    fs.delete(pointer, False)
-    if not fs.rename(fresh, pointer):
-        raise CatalogueError("the pointer couldn't be replaced")
+    jvm = spark._jvm
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fresh, pointer, overwrite)
     return version
 
 
+def remove_old(spark: SparkSession, directory: str, keep: int = 2) -> list[str]:
+    """Deletes all versions but the current one and the ``keep`` newest; returns what was deleted."""
+    root, fs = _fs(spark, directory)
+    held = current(spark, directory)
+    versions = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("v"))
+    gone = [v for v in versions[:max(0, len(versions) - keep)] if v != held]
+    for v in gone:
+        fs.delete(_fs(spark, f"{directory.rstrip('/')}/{v}")[0], True)
+    return gone
+
+
 def current(spark: SparkSession, directory: str) -> str:
     pointer, fs = _fs(spark, f"{directory.rstrip('/')}/CURRENT")
     if not fs.exists(pointer):
