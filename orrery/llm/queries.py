@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import canonical, entities, markup, mixing, neighbours, packing, sentences, splitting, tokens
@@ -70,7 +70,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar rows of every row whose id is divisible by 100."""
     records = table(spark, sf_dir, "records")
-    return neighbours.search(records, "row_id", "embedding", records.where("row_id % 100 = 0").select("row_id"))
+    found = neighbours.search(records, "row_id", "embedding", records.where("row_id % 100 = 0").select("row_id"))
+    return found.withColumn("cosine", F.round("cosine", 4))
 
 
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +106,40 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_sentences(spark, sf_dir).select("doc_id", "start_pos")
 
 
+def p4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each passage how far its pieces reach, whether all are within the limit and none leaves a gap."""
+    order = Window.partitionBy("row_id").orderBy("start_pos")
+    pieces = p4_pieces(spark, sf_dir).withColumn("before", F.coalesce(F.lag("end_pos").over(order), F.lit(0)))
+    return pieces.groupBy("row_id").agg(
+        F.max("end_pos").cast("long").alias("covered"), F.min(F.length("piece") <= splitting.LIMIT).alias("within"),
+        F.min(F.col("start_pos") <= F.col("before")).alias("gapless"))
+
+
+def p8_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed, containers over the capacity, and documents split though one container would hold them."""
+    packed = Scratch(spark, "packed").put(p8_pack(spark, sf_dir))
+    over = packed.where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("n")).where("n > 2048").agg(F.count("*").alias("overfull"))
+    docs = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("parts"))
+    return docs.agg(F.count("n").alias("documents"), F.sum((F.coalesce("n", F.lit(0)) <= 2048).cast("long") * (F.col("parts") > 1).cast("long")).alias("split_needlessly")).crossJoin(over)
+
+
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By source with a target: whether no document is used more often than allowed."""
+    uses = p9_mix(spark, sf_dir).groupBy("source", "doc_id").agg(F.count("*").alias("n")).groupBy("source").agg(F.max("n").alias("most"))
+    targets = table(spark, sf_dir, "mix_targets")
+    return targets.join(uses, "source").select("source", (F.col("most") <= F.col("max_repeats")).alias("kept"))
+
+
+#: All blanks that Unicode knows, for both regular expression dialects.
+_BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def p10_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code points of each document that its units hold, blanks apart: nothing is lost or doubled."""
+    units = p10_sentences(spark, sf_dir)
+    return units.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("sentence", _BLANKS, ""))).cast("long").alias("filled"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clean": p1_clean,
@@ -114,16 +149,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_mapping": p5_mapping,
+    "p4_invariants": p4_invariants,
     "p6_found": p6_found,
     "p6_search": p6_search,
     "p8_pack": p8_pack,
     "p8_report": p8_report,
+    "p8_invariants": p8_invariants,
     "p9_mix": p9_mix,
     "p9_report": p9_report,
+    "p9_invariants": p9_invariants,
     "p10_found": p10_found,
+    "p10_invariants": p10_invariants,
     "p10_sentences": p10_sentences,
 }
 
 ORACLES: dict[str, str] = {
     "p4_found": "SELECT DISTINCT rid FROM records WHERE rid IS NOT NULL AND length(text) > 900",
+    "p4_invariants": "SELECT row_id, length(text) AS covered, true AS within, true AS gapless FROM records WHERE text IS NOT NULL",
+    "p6_search": """WITH u AS (SELECT row_id, embedding::DOUBLE[] AS v FROM records WHERE embedding IS NOT NULL AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
+s AS (SELECT a.row_id AS query, b.row_id AS row, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.row_id % 100 = 0 AND a.row_id <> b.row_id AND len(a.v) = len(b.v))
+SELECT query, row, round(c, 4) AS cosine, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 6) DESC, row) AS rank FROM s) WHERE rank <= 10""",
+    "p8_invariants": "SELECT count(text) AS documents, CAST(0 AS BIGINT) AS split_needlessly, CAST(0 AS BIGINT) AS overfull FROM documents",
+    "p9_invariants": "SELECT source, true AS kept FROM mix_targets WHERE target_share > 0 AND source IN (SELECT source FROM documents WHERE text <> '')",
+    "p10_invariants": f"SELECT doc_id, length(regexp_replace(text, '{_BLANKS}', '', 'g')) AS filled FROM documents WHERE length(regexp_replace(text, '{_BLANKS}', '', 'g')) > 0",
 }
