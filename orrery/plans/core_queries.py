@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import values as V
-from orrery.operators import catalogue, enrich, evidence, fields, filters, names, quantities, retrieval
+from orrery.operators import catalogue, enrich, evidence, fields, filters, linking, names, quantities, retrieval
 from orrery.operators.hierarchy import plain_id
 from orrery.plans.runtime import Scratch, broadcast_if_small, table
 
@@ -602,6 +602,43 @@ def claim_decisions(spark: SparkSession, sf: str) -> DataFrame:
     return decided.select("claim_id", "decision", "reason")
 
 
+@query("WITH t AS (SELECT DISTINCT CAST(model_id AS VARCHAR) AS rid, trim(regexp_replace(lower(trim(regexp_replace(min_by(nomenclature, release_id), '\\s+', ' ', 'g'))), '[^a-z0-9]+', ' ', 'g')) AS alias FROM models GROUP BY model_id), "
+       "c AS (SELECT DISTINCT claim_id, ' ' || trim(regexp_replace(lower(coalesce(entity_mention, '') || ' ' || coalesce(quote, '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS body FROM claims), "
+       "h AS (SELECT claim_id, rid, alias FROM c JOIN t ON contains(body, ' ' || alias || ' ')), r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY length(alias) DESC, alias, rid) AS rn FROM h) SELECT claim_id, rid FROM r WHERE rn = 1")
+def claim_links(spark: SparkSession, sf: str) -> DataFrame:
+    """The record that each claim names by its longest alias; every claim is its own document here."""
+    claims = table(spark, sf, "claims").select("claim_id", F.col("claim_id").alias("doc_id"), "entity_mention", "quote").distinct()
+    said = claims.select("doc_id", F.concat_ws(" ", "entity_mention", "quote").alias("text"))
+    titles = records_of(spark, sf).select(F.lower("title").alias("alias"), "rid")
+    return linking.link_claims(claims, linking.document_mentions(said, titles)).select("claim_id", "rid")
+
+
+@query("WITH w AS (SELECT canon_field AS field, list_distinct(regexp_extract_all(lower(canon_field), '[a-z0-9]+')) AS nw, list_distinct(regexp_extract_all(lower(concat_ws(' ', canon_field, definition, component)), '[a-z0-9]+')) AS pw, "
+       "u.dimension AS fdim, canonical_unit, lower(data_type) = 'number' AS num, ' ' || trim(regexp_replace(lower(component), '[^a-z0-9]+', ' ', 'g')) || ' ' AS comp FROM field_ref f LEFT JOIN unit_ref u ON lower(trim(u.unit)) = lower(trim(f.canonical_unit))), "
+       "i AS (SELECT DISTINCT attribute, unit_raw, value_raw FROM claims WHERE attribute IS NOT NULL), "
+       "o AS (SELECT attribute, unit_raw, value_raw, list_distinct(regexp_extract_all(lower(attribute), '[a-z0-9]+')) AS q, u.dimension AS dim, regexp_matches(coalesce(value_raw, ''), '^\\s*[-+]?\\d') AS isnum, "
+       "' ' || trim(regexp_replace(lower(attribute), '[^a-z0-9]+', ' ', 'g')) || ' ' AS ctx FROM i LEFT JOIN (SELECT DISTINCT ON (lower(trim(unit))) lower(trim(unit)) AS lu, dimension FROM unit_ref ORDER BY lower(trim(unit)), dimension) u ON u.lu = lower(trim(unit_raw))), "
+       "s AS (SELECT attribute, unit_raw, value_raw, field, round(least(1.0::DOUBLE, greatest(len(list_intersect(q, nw))::DOUBLE / len(q) * 0.72, len(list_intersect(q, pw))::DOUBLE / len(q) * 0.62) + CASE WHEN dim IS NULL OR fdim IS NULL THEN 0 WHEN dim = fdim THEN 0.10 ELSE -0.30 END "
+       "+ CASE WHEN isnum AND (num OR canonical_unit IS NOT NULL) THEN 0.04 ELSE 0 END + CASE WHEN comp IS NOT NULL AND contains(ctx, comp) THEN 0.05 ELSE 0 END), 4) AS score FROM o, w WHERE len(q) > 0 AND len(list_intersect(q, pw)) > 0), "
+       "r AS (SELECT *, row_number() OVER win AS rn, lead(score) OVER win AS nxt FROM s WHERE score > 0 WINDOW win AS (PARTITION BY attribute, unit_raw, value_raw ORDER BY score DESC, lower(field), field)) "
+       "SELECT attribute, unit_raw, value_raw, field AS candidate, score, CASE WHEN score >= 0.62 AND round(score - coalesce(nxt, 0), 4) >= 0.12 THEN 'resolved' WHEN score >= 0.35 THEN 'ambiguous' ELSE 'unmapped' END AS status FROM r WHERE rn = 1")
+def field_profile_resolve(spark: SparkSession, sf: str) -> DataFrame:
+    """The field whose profile (name, definition, component, unit, type) fits each attribute, unit and value best."""
+    ref = table(spark, sf, "field_ref")
+    params = ref.select(F.lit("0").alias("rid"), F.col("canon_field").alias("field"), "definition", F.col("data_type").alias("dtype"), F.col("canonical_unit").alias("unit"), "component")
+    items = table(spark, sf, "claims").where("attribute is not null").select("attribute", F.col("unit_raw").alias("unit"), F.col("value_raw").alias("value")).distinct()
+    keyed = items.withColumn("item", F.struct("attribute", "unit", "value")).withColumn("context", F.col("attribute"))
+    found = linking.resolve_profiles(keyed, linking.field_profiles(params), table(spark, sf, "unit_ref"))
+    return found.select("item.attribute", F.col("item.unit").alias("unit_raw"), F.col("item.value").alias("value_raw"), "candidate", "score", "status")
+
+
+@query()
+def claim_states(spark: SparkSession, sf: str) -> DataFrame:
+    """The last state of every claim after the decisions: repeats, contradictions within a document, corroboration."""
+    claims = table(spark, sf, "claims").dropDuplicates(["claim_id"]).select("claim_id", "doc_id", "model_id", "canon_field", "value_raw", "value_norm")
+    return linking.process_claims(claims.join(claim_decisions(spark, sf), "claim_id"))
+
+
 # --- reports --------------------------------------------------------------------------------------
 
 @query("SELECT coalesce(lang, '(all)') AS class, count(*) AS cases, round(avg(CASE WHEN n_chars > 500 THEN 1.0 ELSE 0.0 END), 4) AS hit_rate, round(quantile_cont(n_chars, 0.5), 2) AS median, round(quantile_cont(n_chars, 0.95), 2) AS p95 FROM documents WHERE lang IS NOT NULL GROUP BY GROUPING SETS ((lang), ())")
