@@ -139,3 +139,51 @@ def round4(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+
+
+def is_date_like(c: Column) -> Column:
+    """A text with a year or a month's name that is a date as a whole."""
+    named = c.rlike(r"(?i)\b(?:\d{4}|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)")
+    parsed = F.coalesce(parse_date(c), *[F.try_to_timestamp(c, F.lit(p)).cast("date") for p in ("d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM yyyy", "MMM yyyy", "yyyy")])
+    return F.coalesce(named & parsed.isNotNull(), F.lit(False))
+
+
+def shown_number(c: Column, places: int = 4) -> Column:
+    """A number with at most so many decimals and no zeros behind; null stays null."""
+    return F.regexp_replace(F.regexp_replace(F.round(c, places).cast(f"decimal(38,{places})").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def sentence_with(text: Column, token: Column) -> Column:
+    """The first sentence of a text in which the token stands with no letter, digit or hyphen beside it; null if none."""
+    edge = lambda s: F.concat(F.lit(" "), F.regexp_replace(F.lower(s), r"[^\w.-]+", " "), F.lit(" "))
+    bare = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(token), r"[^\w.-]+", " ")))
+    holds = lambda s: edge(s).contains(F.concat(bare, F.lit(" "))) | edge(s).contains(F.concat(bare, F.lit(". ")))
+    return F.try_element_at(F.filter(F.split(text, r"(?<=[.!?])\s+"), holds), F.lit(1))
+
+
+def one_line(c: Column, size: int = 240) -> Column:
+    """A quotation on one line, cut to ``size``."""
+    return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, size)
+
+
+def document_name(path: Column) -> Column:
+    """The name of a file without folders and ending."""
+    return F.regexp_extract(path, r"([^/\\]*?)(?:\.[^./\\]*)?$", 1)
+
+
+def unit_parts(c: Column) -> Column:
+    """Units written together, as 'km / mi' or 'm, ft', one by one."""
+    return F.filter(F.transform(F.split(c, r"[/,]"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def spelled_out(c: Column, words: dict[str, str]) -> Column:
+    """Each word of a text that is an abbreviation by its expansion; dots behind a word are dropped for the look-up."""
+    if not words:
+        return c
+    table = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    return F.array_join(F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.coalesce(table[F.rtrim(F.regexp_replace(w, r"\.$", ""))], w)), " ")
+
+
+def numbers_of(values: Column) -> Column:
+    """The values of an array of texts that are numbers, thousands commas allowed."""
+    return F.filter(F.transform(values, lambda v: coerce_number(v)), lambda v: v.isNotNull())

@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import functions as F
 
+from orrery.operators import catalogue as cat
 from orrery.operators import evidence, fields, filters, names, retrieval
 from orrery.plans import planner, prompt
 from orrery.sources.index import Index
@@ -61,6 +62,26 @@ def extract_filter(question: str, spec: str, model: Callable[[str, str], str], r
     return {}, "parse_failed"
 
 
+def extract_filter_in_two(index: Index, question: str, model: Callable[[str, str], str], min_count: int = 2, most: int = 40,
+                          field_aliases: dict[str, str] | None = None) -> tuple[dict, str]:
+    """(filter, status) in two passes: first over the fields that partition the records, then over the fields that the
+    records left still have, with their ranges there.
+
+    If the first pass finds nothing, the second sees all fields; the clauses of both are merged, the second's first.
+    """
+    known = index.catalogue_map()
+    spec = lambda only, stats=None, kind=None: "\n".join(r["line"] for r in cat.spec_lines(
+        index.catalogue, index.labels, stats, kind, only, min_count=min_count, max_fields=most).orderBy("rank").collect())
+    partition = [r["field"] for r in cat.partition_fields(index.catalogue, min_count).collect()]
+    first, status = extract_filter(question, spec(partition), model) if partition else ({}, "empty")
+    clauses = filters.validate(first, known, field_aliases).clauses
+    left = filters.eligible(index.fields, clauses)
+    fields_left = None if left is None else [r["field"] for r in cat.coverage(index.fields, left).orderBy(F.desc("records"), "field").limit(most).collect()]
+    label = next((v for c in clauses.values() for v in c.get("in", []) if len(c["in"]) == 1), None)
+    second, status_2 = extract_filter(question, spec(fields_left or None, index.category_stats if label else None, label), model)
+    return filters.merge(filters.validate(second, known, field_aliases).clauses, clauses), "ok" if first or second else status_2 if status == "empty" else status
+
+
 def aliases_of(index: Index, question: str, threshold: int) -> dict[str, list[str]]:
     """Aliases that matter for one question: those that it mentions, and families whose letters stand in it.
 
@@ -106,8 +127,6 @@ def prepare(index: Index, question: str, embed: Callable[[str], list[float]], ex
         return Answer("clarification_required", "Please name a field or a bound for the criterion.", plan=shown)
     clauses = plan.filter if explicit is not None or plan.complete else {}
     if not clauses and explicit is None and filter_model is not None:
-        from orrery.operators import catalogue as cat
-
         lines = "\n".join(r["line"] for r in cat.spec_lines(index.catalogue, index.labels, min_count=2, max_fields=60).orderBy("rank").collect())
         raw, _ = extract_filter(question, lines, filter_model)
         clauses = filters.validate(filters.merge(raw, plan.filter), catalogue, field_aliases).clauses
@@ -140,11 +159,16 @@ def prepare(index: Index, question: str, embed: Callable[[str], list[float]], ex
         seen = index.spark.createDataFrame([(c["rid"],) for c in contexts] or [("",)], "parent_rid string")
         best = retrieval.digest(filters.eligible_passages(passages, ok), "parent_rid", "embedding", vector, "row_id", exclude=seen).join(passages.select("row_id", "title", "text"), "row_id").collect()
         digest_rows = {"entries": [{"rid": b["parent_rid"], "title": b["title"], "snippet": b["text"][:200]} for b in best], "remaining": max(0, (matched or 0) - len(contexts) - len(best))}
-    relation = []
+    relation, kin = [], []
     if pins and planner.asks_relation(question):
         links = index.edges.select(F.coalesce("parent_id", "rid").alias("parent"), F.col("child_id").alias("child"), "relation_type").where("child is not null")
-        relation = [r.asDict() for r in evidence.relation_rows(links, index.spark.createDataFrame([(p,) for p in pins], "rid string"), titles).collect()]
-    text = prompt.build(question, contexts, table_rows, digest_rows, relation_rows=relation, most=max_context_tokens)
+        seeds = titles.where(F.col("rid").isin(pins))
+        relation = [r.asDict() for r in evidence.relation_rows(links, seeds.select("rid"), titles).collect()]
+        beside = evidence.related(links, seeds, titles)
+        best = retrieval.digest(passages.join(beside.select(F.col("rid").alias("parent_rid")), "parent_rid", "left_semi"), "parent_rid", "embedding", vector, "row_id").limit(6)
+        near = best.join(passages.select("row_id", "text"), "row_id").select(F.col("parent_rid").alias("rid"), "score", "text").join(beside, "rid").join(titles, "rid")
+        kin = [r.asDict() for r in near.orderBy(F.desc("score"), "rid").collect()]
+    text = prompt.build(question, contexts, table_rows, digest_rows, related=prompt.related(kin), relation_rows=relation, most=max_context_tokens)
     return Answer("ready" if contexts or rows else "no_records", None, text, prompt.system_for(table_rows is not None), shown, contexts, rows, fell_back)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Wording of a refusal, and fields that stand for each other in filters.
@@ -113,3 +113,77 @@ def select_cases(cases: DataFrame, ids: list[str] | None = None, classes: list[s
             raise ValueError(f"unknown cases: {', '.join(missing)}")
         out = out.where(F.col("id").isin(ids))
     return out if classes is None else out.where(F.col("class").isin(classes))
+
+
+def run_case(index, case: dict, embed, model=None, filter_model=None, k: int = 10, most: int | None = 3000) -> dict:
+    """One case of an evaluation set through retrieval, filter and answer; stages without a model or expectation are null.
+
+    The ranked ids are those of retrieval without a filter, as for hit rates; the answer goes the way of a user's question.
+    """
+    from orrery.plans import ask, prompt
+
+    plain = ask.prepare(index, case["question"], embed, k=k, mode="off", max_context_tokens=most, explicit={})
+    got = list(dict.fromkeys(c["rid"] for c in plain.contexts)) or [e[0] for e in plain.plan.get("entities", [])]
+    out = {"id": case["id"], "class": case["class"], "got": got, "tokens": prompt.tokens(plain.prompt or ""), "required_rids": case.get("required_rids") or [], "expected_rids": case.get("expected_rids") or [],
+           "filter_precision": None, "filter_recall": None, "answer_hit": None, "refused": None, "hallucinated": None}
+    if case.get("filter") is not None and filter_model is not None:
+        found, _ = ask.extract_filter_in_two(index, case["question"], filter_model)
+        score = score_filter(case["filter"], found)
+        out |= {"filter_precision": score.precision, "filter_recall": score.recall}
+    if model is not None:
+        reply = ask.ask(index, case["question"], embed, model, k=k, max_context_tokens=most)
+        shown = [c["rid"] for c in reply.contexts] + [r["rid"] for r in reply.table]
+        out |= {"answer_hit": answer_hit(case["answer"], reply.reply) if case.get("answer") else None, "refused": is_refusal(reply.reply),
+                "hallucinated": len(citations(reply.reply, shown)["hallucinated"])}
+    return out
+
+
+def aggregate_stages(results: DataFrame) -> DataFrame:
+    """(class, cases, filter_precision, filter_recall, answer_rate, refusal_rate, hallucinated) by class and for all."""
+    shown = results.withColumn("c", F.col("class")).groupingSets([["c"], []], "c").agg(
+        F.grouping("c").alias("g"), F.count("*").alias("cases"), F.round(F.avg("filter_precision"), 4).alias("filter_precision"), F.round(F.avg("filter_recall"), 4).alias("filter_recall"),
+        F.round(F.avg(F.col("answer_hit").cast("double")), 4).alias("answer_rate"), F.round(F.avg(F.col("refused").cast("double")), 4).alias("refusal_rate"), F.sum("hallucinated").alias("hallucinated"))
+    return shown.select(F.when(F.col("g") == 1, "(all)").otherwise(F.col("c")).alias("class"), *[c for c in shown.columns if c not in ("c", "g")])
+
+
+_RESULT = ("id string, class string, got array<string>, tokens int, required_rids array<string>, expected_rids array<string>, filter_precision double, filter_recall double, "
+           "answer_hit boolean, refused boolean, hallucinated int")
+
+
+def run_eval(index, cases: DataFrame, embed, model=None, filter_model=None, k: int = 10, most: int | None = 3000, ids: list[str] | None = None,
+             classes: list[str] | None = None, checkpoint: str | None = None) -> dict[str, DataFrame]:
+    """{results, rates, stages} of an evaluation set: (id, class, question, required_rids, expected_rids, filter, answer).
+
+    Cases are questions, few by nature, and run one after the other, as questions do. With ``checkpoint`` each result is
+    appended to that JSON-lines file, and cases that stand there already aren't run again.
+    """
+    import json
+    import os
+
+    done: dict[str, dict] = {}
+    if checkpoint and os.path.exists(checkpoint):
+        with open(checkpoint, encoding="utf-8") as f:
+            done = {r["id"]: r for r in map(json.loads, f)}
+    for row in select_cases(cases, ids, classes).orderBy("id").toLocalIterator():
+        case = row.asDict(recursive=True)
+        if case["id"] in done:
+            continue
+        done[case["id"]] = run_case(index, case, embed, model, filter_model, k, most)
+        if checkpoint:
+            with open(checkpoint, "a", encoding="utf-8") as f:
+                f.write(json.dumps(done[case["id"]]) + "\n")
+    columns = [part.split(" ")[0] for part in _RESULT.split(", ")]
+    results = index.spark.createDataFrame([tuple(r[c] for c in columns) for r in done.values()], _RESULT)
+    scored = score_retrieval(results.select("id", "class", "required_rids", "expected_rids"), results.select("id", "got", "tokens"))
+    return {"results": results, "rates": hit_rates(scored), "stages": aggregate_stages(results)}
+
+
+def unknown_filter_fields(cases: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(id, field): fields of expected filters (a map) that the catalogue doesn't have."""
+    return cases.where(F.col("filter").isNotNull()).select("id", F.explode(F.map_keys("filter")).alias("field")).join(catalogue.select("field"), "field", "left_anti").select("id", "field")
+
+
+def stratified(rows: DataFrame, group: str, key: str, n: int = 2, seed: int = 0) -> DataFrame:
+    """``n`` rows of each group by a seeded hash of the key; the window is limited before the shuffle."""
+    w = Window.partitionBy(group).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    return rows.withColumn("__r", F.row_number().over(w)).where(f"__r <= {n}").drop("__r")

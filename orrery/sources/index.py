@@ -7,16 +7,22 @@ pointer, so readers never see a half-built index and a failed build leaves the o
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import catalogue, chunks, fields, names, records
+from orrery.operators import catalogue, chunks, fields, filters, names, records, retrieval
 from orrery.plans.runtime import Scratch
 
-TABLES = ("records", "params", "fields", "passages", "edges", "catalogue", "labels", "aliases", "meta")
+TABLES = ("records", "params", "fields", "passages", "edges", "catalogue", "labels", "aliases", "category_stats", "field_vectors", "meta")
+#: Columns without which a table is of another schema.
+NEEDED = {"records": ("rid", "title"), "fields": ("rid", "field", "lo", "hi", "str", "kind", "unit"), "passages": ("rid", "text"), "catalogue": ("field", "type", "count"), "aliases": ("alias", "rid")}
+#: Fields that say of what type a record is, in the order in which they are looked for.
+TYPE_FIELDS = ("systemType", "system_type", "type")
 
 
 class CatalogueError(RuntimeError):
@@ -60,10 +66,15 @@ def build(spark: SparkSession, canon: DataFrame, units: DataFrame | None = None,
     passages = chunks.chunk(text, "rid", "title", "text")
     if embed is not None:
         passages = embed(passages)
-    made = catalogue.classify(both, own.where("upper(dtype) = 'LOV'").select(F.col("name").alias("field")))
+    made = Scratch(spark, "index").put(catalogue.classify(both, own.where("upper(dtype) = 'LOV'").select(F.col("name").alias("field"))))
+    labels = Scratch(spark, "index").put(catalogue.label_values(both))
+    present = {r["field"] for r in made.where(F.col("field").isin(*TYPE_FIELDS)).select("field").collect()}
+    kind = next((f for f in TYPE_FIELDS if f in present), TYPE_FIELDS[0])
+    vectors = catalogue.descriptor(made, labels)
+    vectors = embed(vectors) if embed is not None else vectors.withColumn("embedding", F.lit(None).cast("array<float>"))
     return {
         "records": canon.select("rid", "title", "prose", "media"), "params": own, "fields": both, "passages": passages, "edges": records.relations(canon),
-        "catalogue": made, "labels": catalogue.label_values(both), "aliases": names.alias_table(canon, "rid", "title", F.col("aliases"), [*names.STOPWORDS, *names.common_words(canon, "title")]),
+        "catalogue": made, "labels": labels, "category_stats": catalogue.category_stats(both, made, kind), "field_vectors": vectors, "aliases": names.alias_table(canon, "rid", "title", F.col("aliases"), [*names.STOPWORDS, *names.common_words(canon, "title")]),
         "meta": spark.createDataFrame([("embedder", embedder), ("built", str(int(time.time())))], "key string, value string")}
 
 
@@ -150,6 +161,21 @@ class Index:
             if first and first["n"] != dimension:
                 raise CatalogueError(f"the index has {first['n']} dimensions, not {dimension}")
 
+    def check_schema(self) -> None:
+        """An index whose tables lack columns was built by another version and must be built anew."""
+        for name, columns in NEEDED.items():
+            missing = sorted(set(columns) - set(getattr(self, name).columns))
+            if missing:
+                raise CatalogueError(f"table {name} lacks {', '.join(missing)}; build the index anew")
+
+    def field_ranking(self, vector: list[float] | None) -> dict[str, float] | None:
+        """Similarity of each field to an embedded question, or None where the index has no field vectors (then coverage ranks)."""
+        if vector is None:
+            return None
+        rows = self.field_vectors.where(F.col("embedding").isNotNull())
+        scored = retrieval.vector_top(rows, "embedding", vector, "field", pool=1000).collect()
+        return {r["field"]: r["score"] for r in scored} or None
+
     def catalogue_map(self) -> dict[str, dict]:
         """The catalogue for the planner: one entry per field name."""
         labels = {r["field"]: r["values"] for r in self.labels.collect()}
@@ -165,6 +191,31 @@ def ingest(spark: SparkSession, source: str, directory: str, **options) -> str:
     return publish(spark, build(spark, canon, **options), directory)
 
 
+def field_aliases(files: list[str], built_in: dict[str, list[str]] | None = None) -> dict[str, str]:
+    """{alias: field} from JSON files over built-in ones, names in plain form.
+
+    A file maps fields to lists of aliases or aliases to fields; what is read later wins.
+    """
+    out: dict[str, str] = {}
+    for source in [built_in or {}, *(json.loads(Path(f).read_text(encoding="utf-8")) for f in files)]:
+        for key, value in source.items():
+            for alias, target in [(a, key) for a in value] if isinstance(value, list) else [(key, value)]:
+                out[filters.plain_name(alias)] = target
+    return out
+
+
+def snapshot(index: Index, directory: str) -> dict[str, int]:
+    """Writes the catalogue as JSON lines and its prompt lines as text under ``directory``; returns the number of fields by type."""
+    index.catalogue.join(index.labels, "field", "left").orderBy(F.desc("count"), "field").coalesce(1).write.mode("overwrite").json(f"{directory}/catalogue")
+    catalogue.spec_lines(index.catalogue, index.labels).orderBy("rank").select("line").coalesce(1).write.mode("overwrite").text(f"{directory}/prompt")
+    return {r["type"]: r["fields"] for r in catalogue.type_counts(index.catalogue).collect()}
+
+
+def write_records(canon: DataFrame, directory: str, clean: bool = False) -> None:
+    """Records as JSON lines; ``clean`` replaces what is there, else it must not exist."""
+    canon.write.mode("overwrite" if clean else "errorifexists").json(directory)
+
+
 def hashed_embedder(dimension: int = 64) -> Callable[[DataFrame], DataFrame]:
     """Deterministic embedder without a model: signed hashed words, unit length. Any mapper with the same contract can take its place."""
     from pyspark.sql import Column

@@ -35,6 +35,11 @@ class Ledger:
         """Failed documents with at most 1,000 characters of the raw reply; they stay unseen and are tried again."""
         self.append("failures", rows.withColumn("raw", F.substring("raw", 1, 1000)), batch)
 
+    def finish_run(self, run_id: int, note: str = "", **counters: int) -> None:
+        """Writes a run's row with its counters (documents, calls, tokens, errors), in place of what was written before."""
+        row = {"run_id": run_id, "note": note} | counters
+        self.append("runs", self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'string' if k == 'note' else 'int' if k == 'run_id' else 'long'}" for k in row)), str(run_id))
+
     def reject(self, full_fp: str, reason: str) -> None:
         self.append("rejections", self.spark.createDataFrame([(full_fp, reason)], "full_fp string, reason string"), f"fp-{full_fp}")
 
@@ -62,5 +67,6 @@ def run_batch(spark: SparkSession, documents: DataFrame, extract, ledger: Ledger
     ledger.append("claims", enrich.without_rejected(enrich.first_in_run(claims), rejected), str(run_id))
     ledger.append("docs_seen", fresh.join(failed.select("doc_id"), "doc_id", "left_anti").select("content_hash", "doc_id"), str(run_id))
     ledger.record_failures(failed.select("doc_id", "error", F.col("error").alias("raw")), str(run_id))
-    ledger.append("runs", spark.createDataFrame([(run_id, note)], "run_id int, note string"), str(run_id))
+    done = got.agg(F.count_distinct("doc_id").alias("d"), F.count_distinct(F.when(F.col("error").isNotNull(), F.col("doc_id"))).alias("e")).first()
+    ledger.finish_run(run_id, note, documents=done["d"], errors=done["e"])
     return enrich.graduate(ledger.read("claims", claims))
