@@ -5,22 +5,27 @@ of N blocks has the weight n / N, the release floor(j N / n) and the deadline ce
 slots of one block. Among the released blocks the one with the earliest deadline gets each slot, which
 keeps every source within less than one block of its share at every point of the mixture.
 
-The schedule of blocks is computed on the driver: a block grows with the mixture, so there are never
-more than MOST_BLOCKS of them. Documents are placed in blocks by a distributed prefix sum.
+The mixture is cut into epochs of EPOCH_SLOTS slots, whose blocks of each source follow from the target
+shares at the epoch's borders by greatest remainders; each worker schedules epochs by itself. So a block
+keeps its size however large the mixture, and every source stays within less than two blocks of its share
+at every point (less than one in a mixture of one epoch). Documents are placed in blocks by a distributed
+prefix sum.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.plans.runtime import Scratch, broadcast_if_small, parallelism, running_total
 
-#: Least size of a block and greatest number of blocks; a block is also no smaller than the longest document.
+#: Least size of a block, which is also no smaller than the longest document, and slots that are scheduled together.
 BLOCK_TOKENS = 4096
-MOST_BLOCKS = 200_000
+EPOCH_SLOTS = 50_000
 
 
 def schedule_blocks(blocks: dict[str, int]) -> dict[str, list[int]]:
@@ -41,6 +46,26 @@ def schedule_blocks(blocks: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
+def blocks_before(blocks: dict[str, int], slot: int) -> dict[str, int]:
+    """How many blocks of each source stand before a slot at an epoch's border: its share, rounded so that the sum is right."""
+    total = sum(blocks.values())
+    slot = min(slot, total)
+    if not total:
+        return dict(blocks)
+    held = {s: n * slot // total for s, n in blocks.items()}
+    behind = sorted(blocks, key=lambda s: (-(blocks[s] * slot % total), s))
+    for s in behind[:slot - sum(held.values())]:
+        held[s] += 1
+    return held
+
+
+def schedule_epoch(blocks: dict[str, int], epoch: int, slots: int = EPOCH_SLOTS) -> list[tuple[str, int, int]]:
+    """(source, block, slot) of one epoch."""
+    begin, end = blocks_before(blocks, epoch * slots), blocks_before(blocks, (epoch + 1) * slots)
+    own = {s: end[s] - begin[s] for s in blocks if end[s] > begin[s]}
+    return [(s, begin[s] + j, epoch * slots + t) for s, at in schedule_blocks(own).items() for j, t in enumerate(at)]
+
+
 def quotas(tokens: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[str, tuple[float, float]]:
     """source -> (effective share, tokens) of the largest mixture that all available sources can fill.
 
@@ -54,7 +79,7 @@ def quotas(tokens: dict[str, int], targets: list[tuple[str, float, int]]) -> dic
     return {s: (w / whole, size * w / whole) for s, w, _ in available}
 
 
-def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "n_tokens") -> tuple[DataFrame, DataFrame]:
+def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "n_tokens", epoch_slots: int = EPOCH_SLOTS) -> tuple[DataFrame, DataFrame]:
     """(schedule, report).
 
     schedule: key, copy_no, source, n_tokens, block_no, slot; slot is the place of the block in the mixture.
@@ -73,18 +98,25 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "
     supply = {r["source"]: r["n"] for r in held.where(F.col("source").isin(named)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     quota = quotas(supply, sorted(wanted, key=str))
     longest = held.agg(F.max("n_tokens")).first()[0] or 0
-    block = max(BLOCK_TOKENS, longest, -(-int(sum(t for _, t in quota.values())) // MOST_BLOCKS))
+    block = max(BLOCK_TOKENS, longest)
     blocks = {s: max(1, -(-round(t) // block)) for s, (_, t) in quota.items()}
-    slots = schedule_blocks(blocks)
-    slot_rows = [(s, j, t) for s in slots for j, t in enumerate(slots[s])]
-    slot_of = spark.createDataFrame(slot_rows, "source string, block_no long, slot long")
+    epochs = -(-sum(blocks.values()) // epoch_slots)
+
+    def scheduled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for epoch in batch.column(0).to_pylist():
+                rows = schedule_epoch(blocks, epoch, epoch_slots)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)]], names=["source", "block_no", "slot"])
+
+    slot_of = scratch.put(spark.range(0, epochs, numPartitions=max(1, min(epochs, parallelism(spark)))).mapInArrow(scheduled, "source string, block_no long, slot long"))
     repeats = {s: r for s, _, r in wanted}
     plan_rows = [(s, float(t), supply[s], repeats[s], blocks[s]) for s, (_, t) in sorted(quota.items())]
     plan = spark.createDataFrame(plan_rows, "source string, quota double, supply long, repeats int, blocks long")
     used = held.where("n_tokens > 0").join(F.broadcast(plan), "source")
     placed = running_total(used, "source", [key], "n_tokens", "before", buckets=max(256, 4 * parallelism(spark)))
-    copies = placed.withColumn("copy_no", F.explode(F.expr("sequence(0, repeats - 1)"))).withColumn(
-        "start", F.col("copy_no") * F.col("supply") + F.col("before"))
+    # only the copies that the quota has room for are made
+    last = placed.withColumn("last", F.expr("least(repeats - 1, cast(floor((quota - before - n_tokens / 2) / supply) as int))")).where("last >= 0")
+    copies = last.withColumn("copy_no", F.explode(F.expr("sequence(0, last)"))).withColumn("start", F.col("copy_no") * F.col("supply") + F.col("before"))
     chosen = copies.where("start + n_tokens / 2 <= quota").withColumn(
         "block_no", F.least(F.expr(f"start div {block}"), F.col("blocks") - 1))
     schedule = scratch.put(chosen.join(broadcast_if_small(slot_of), ["source", "block_no"]).select(

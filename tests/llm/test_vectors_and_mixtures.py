@@ -106,6 +106,26 @@ def test_schedule_stays_within_one_block(blocks):
             assert abs(sum(x < t for x in at) - blocks[s] * t / total) < 1
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(1, 90), min_size=1), st.integers(5, 40))
+def test_epochs_stay_within_two_blocks(blocks, slots):
+    total = sum(blocks.values())
+    rows = [r for e in range(-(-total // slots)) for r in mixing.schedule_epoch(blocks, e, slots)]
+    assert sorted(t for _, _, t in rows) == list(range(total))
+    for s, n in blocks.items():
+        own = sorted((j, t) for k, j, t in rows if k == s)
+        assert [j for j, _ in own] == list(range(n)) and [t for _, t in own] == sorted(t for _, t in own)
+        for t in range(1, total + 1):
+            assert abs(sum(x < t for _, x in own) - n * t / total) < 2
+
+
+def test_mixture_in_epochs(spark):
+    docs = spark.createDataFrame([(i, "big" if i % 3 else "small", 4000) for i in range(300)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_share double, max_repeats int")
+    whole, cut = (sorted((r.doc_id, r.copy_no, r.source, r.block_no) for r in mixing.mix(docs, targets, epoch_slots=n)[0].collect()) for n in (50_000, 20))
+    assert whole == cut and len(whole) > 300
+
+
 def test_mixture(spark):
     docs = [(i, "big" if i % 3 else "small", 50 + i % 40, "x") for i in range(900)] + [(9000, None, 10, "x"), (9001, "other", 10, "x"), (9002, "big", None, "x"), (9003, "big", 0, "x")]
     df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long, slot string")
