@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import values as V
-from orrery.plans.runtime import broadcast_if_small
+from orrery.plans.runtime import Scratch, broadcast_if_small
 
 # Constants of BM25 and of reciprocal rank fusion.
 K1, B, LEAST_IDF, RRF_K = 1.2, 0.75, 1e-6, 60
@@ -46,23 +48,27 @@ def postings(texts: DataFrame, key: str, text: str) -> DataFrame:
 def bm25_top(texts: DataFrame, key: str, text: str, query: str, pool: int = 20, eligible: DataFrame | None = None) -> DataFrame:
     """The ``pool`` best rows for the OR of the query's terms: key, score, rank from 0.
 
-    Only the terms of the query are exploded, so the shuffle holds matches, not the index. Statistics
-    cover all texts; eligibility narrows the candidates before the cut.
+    Texts are read and cut into words once: the pass counts texts, words and the texts of each term, and keeps
+    the rows that hit. Statistics cover all texts; eligibility narrows the candidates before the cut. A key of
+    several rows has the score of its best one; null texts and a query without terms give no row.
     """
-    import re
-
     terms = list(dict.fromkeys(re.findall(r"[a-z0-9_]+", query.lower())))
-    words = texts.where(F.col(text).isNotNull()).select(key, V.tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
-    totals = words.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"))
-    asked = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    hits = words.select(key, "dl", F.explode(F.filter("w", lambda t: F.array_contains(asked, t))).alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    if not terms:
+        return texts.select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    times = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t)))
+    words = texts.where(F.col(text).isNotNull()).select(key, V.tokens(F.col(text)).alias("w")).select(
+        key, F.size("w").alias("dl"), *[times(t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    seen = Observation()
+    counted = words.observe(seen, F.count("*").alias("n"), F.sum("dl").alias("total"), *[F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(terms))])
+    hits = Scratch(texts.sparkSession, "bm25").put(counted.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))))
+    n, total, df = seen.get["n"], seen.get["total"] or 0, [seen.get[f"df{i}"] for i in range(len(terms))]
+    length = K1 * (1 - B + B * F.col("dl") / (total / n if n and total else 1.0))
+    score = F.lit(0.0)
+    for i, d in enumerate(df):
+        idf = max(math.log((n - d + 0.5) / (d + 0.5)), LEAST_IDF)
+        score = score + F.lit(idf) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + length)
     kept = hits if eligible is None else hits.join(eligible.select(key), key, "left_semi")
-    # df has a row per term of the query and totals has one row: both are bounded by the query
-    joined = kept.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))
-    idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    top = joined.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), key).limit(pool)
+    top = kept.groupBy(key).agg(F.max(F.round(score, 6)).alias("score")).orderBy(F.desc("score"), key).limit(pool)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)) - 1)
 
 
