@@ -122,18 +122,19 @@ def run_case(index, case: dict, embed, model=None, filter_model=None, k: int = 1
     """
     from orrery.plans import ask, prompt
 
-    plain = ask.prepare(index, case["question"], embed, k=k, mode="off", max_context_tokens=most, explicit={})
+    question, answer = case.get("question") or case["query"], case.get("answer") or case.get("expected_answer_contains")
+    plain = ask.prepare(index, question, embed, k=k, mode="off", max_context_tokens=most, explicit={})
     got = list(dict.fromkeys(c["rid"] for c in plain.contexts)) or [e[0] for e in plain.plan.get("entities", [])]
     out = {"id": case["id"], "class": case["class"], "got": got, "tokens": prompt.tokens(plain.prompt or ""), "required_rids": case.get("required_rids") or [], "expected_rids": case.get("expected_rids") or [],
            "filter_precision": None, "filter_recall": None, "answer_hit": None, "refused": None, "hallucinated": None}
     if case.get("filter") is not None and filter_model is not None:
-        found, _ = ask.extract_filter_in_two(index, case["question"], filter_model)
+        found, _ = ask.extract_filter_in_two(index, question, filter_model)
         score = score_filter(case["filter"], found)
         out |= {"filter_precision": score.precision, "filter_recall": score.recall}
     if model is not None:
-        reply = ask.ask(index, case["question"], embed, model, k=k, max_context_tokens=most)
+        reply = ask.ask(index, question, embed, model, k=k, max_context_tokens=most)
         shown = [c["rid"] for c in reply.contexts] + [r["rid"] for r in reply.table]
-        out |= {"answer_hit": answer_hit(case["answer"], reply.reply) if case.get("answer") else None, "refused": is_refusal(reply.reply),
+        out |= {"answer_hit": answer_hit(answer, reply.reply) if answer else None, "refused": is_refusal(reply.reply),
                 "hallucinated": len(citations(reply.reply, shown)["hallucinated"])}
     return out
 
@@ -152,7 +153,7 @@ _RESULT = ("id string, class string, got array<string>, tokens int, required_rid
 
 def run_eval(index, cases: DataFrame, embed, model=None, filter_model=None, k: int = 10, most: int | None = 3000, ids: list[str] | None = None,
              classes: list[str] | None = None, checkpoint: str | None = None) -> dict[str, DataFrame]:
-    """{results, rates, stages} of an evaluation set: (id, class, question, required_rids, expected_rids, filter, answer).
+    """{results, rates, stages} of an evaluation set: (id, class, question or query, required_rids, expected_rids, filter, answer).
 
     Cases are questions, few by nature, and run one after the other, as questions do. With ``checkpoint`` each result is
     appended to that JSON-lines file, and cases that stand there already aren't run again.
