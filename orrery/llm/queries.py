@@ -106,6 +106,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_sentences(spark, sf_dir).select("doc_id", "start_pos")
 
 
+def p2_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the matches those of claims whose mention is nothing but a code of the catalogue."""
+    claims = table(spark, sf_dir, "claims").where("model_id is null").select("claim_id", "entity_mention").distinct()
+    codes = table(spark, sf_dir, "models").select(F.col("primary_equip_code").alias("entity_mention")).distinct()
+    return p2_found(spark, sf_dir).join(claims.join(codes, "entity_mention"), "claim_id").select("claim_id", "model_id")
+
+
+def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What claims map to whose attribute is a name of the list, letter case and outer blanks apart."""
+    names = [n.lower() for n in _field_names(spark, sf_dir)]
+    return p5_mapping(spark, sf_dir).where(F.lower(F.trim("attribute")).isin(names)).select("claim_id", "entry", "status", "distance")
+
+
 def p4_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each passage how far its pieces reach, whether all are within the limit and none leaves a gap."""
     order = Window.partitionBy("row_id").orderBy("start_pos")
@@ -145,10 +158,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_clean": p1_clean,
     "p2_found": p2_found,
     "p2_match": p2_match,
+    "p2_codes": p2_codes,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_found": p5_found,
     "p5_mapping": p5_mapping,
+    "p5_exact": p5_exact,
     "p4_invariants": p4_invariants,
     "p6_found": p6_found,
     "p6_search": p6_search,
@@ -164,6 +179,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "p2_codes": "SELECT DISTINCT claim_id, m.model_id FROM claims c JOIN (SELECT primary_equip_code AS code, min(model_id) AS model_id FROM models GROUP BY 1 HAVING count(DISTINCT model_id) = 1) m ON m.code = c.entity_mention WHERE c.model_id IS NULL",
+    "p5_exact": "SELECT DISTINCT claim_id, canon_name AS entry, 'exact' AS status, CAST(0 AS INTEGER) AS distance FROM claims JOIN (SELECT DISTINCT canon_field AS canon_name FROM field_ref) ON lower(trim(attribute)) = lower(canon_name)",
     "p4_found": "SELECT DISTINCT rid FROM records WHERE rid IS NOT NULL AND length(text) > 900",
     "p4_invariants": "SELECT row_id, length(text) AS covered, true AS within, true AS gapless FROM records WHERE text IS NOT NULL",
     "p6_search": """WITH u AS (SELECT row_id, embedding::DOUBLE[] AS v FROM records WHERE embedding IS NOT NULL AND list_max(list_transform(embedding, lambda x: abs(x))) > 0),
