@@ -178,6 +178,14 @@ def coerce_numeric(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy("claim_id").agg(F.max(V.coerce_number(F.col("value_raw"))).alias("num"))
 
 
+@query("SELECT DISTINCT claim_id, round(least(a, b), 6) AS lo, round(greatest(a, b), 6) AS hi FROM (SELECT claim_id, TRY_CAST(replace(regexp_extract(value_raw, '^\\s*([+-]?\\d+(?:,\\d{3})*(?:\\.\\d*)?)\\s+to\\s+([+-]?\\d+(?:,\\d{3})*(?:\\.\\d*)?)\\s*$', 1), ',', '') AS DOUBLE) AS a, "
+       "TRY_CAST(replace(regexp_extract(value_raw, '^\\s*([+-]?\\d+(?:,\\d{3})*(?:\\.\\d*)?)\\s+to\\s+([+-]?\\d+(?:,\\d{3})*(?:\\.\\d*)?)\\s*$', 2), ',', '') AS DOUBLE) AS b FROM claims) WHERE a IS NOT NULL AND b IS NOT NULL")
+def parse_interval(spark: SparkSession, sf: str) -> DataFrame:
+    """Intervals among the claims' values; these tables hold none, ``parse_interval_ranges`` has cases."""
+    plain = table(spark, sf, "claims").select("claim_id", V.parse_interval(F.col("value_raw")).alias("i")).where("i is not null")
+    return plain.select("claim_id", F.round("i.lo", 6).alias("lo"), F.round("i.hi", 6).alias("hi")).distinct()
+
+
 @query("SELECT year(TRY_CAST(created_date AS DATE)) AS year, count(*) AS n FROM models WHERE TRY_CAST(created_date AS DATE) IS NOT NULL GROUP BY 1")
 def parse_date(spark: SparkSession, sf: str) -> DataFrame:
     dated = table(spark, sf, "models").select(V.parse_date(F.col("created_date")).alias("d")).where("d is not null")
@@ -217,7 +225,7 @@ def typed_params(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("SELECT user_id, round(min(value), 2) AS lo, round(max(value), 2) AS hi FROM events WHERE user_id IS NOT NULL GROUP BY user_id HAVING min(value) IS NOT NULL")
-def parse_interval(spark: SparkSession, sf: str) -> DataFrame:
+def parse_interval_ranges(spark: SparkSession, sf: str) -> DataFrame:
     """The range of each user's values, written as text with the bounds in either order, and read back."""
     e = table(spark, sf, "events").where("user_id is not null").groupBy("user_id").agg(F.round(F.min("value"), 2).alias("a"), F.round(F.max("value"), 2).alias("z"))
     text = F.when(F.col("user_id") % 2 == 0, F.concat_ws(" to ", F.col("a").cast("string"), F.col("z").cast("string"))).otherwise(
