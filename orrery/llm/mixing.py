@@ -6,7 +6,7 @@ slots of one block. Among the released blocks the one with the earliest deadline
 keeps every source within less than one block of its share at every point of the mixture.
 
 The mixture is cut into epochs of EPOCH_SLOTS slots, whose blocks of each source follow from the target
-shares at the epoch's borders by greatest remainders; each worker schedules epochs by itself. So a block
+shares at the epoch's borders; each worker schedules epochs by itself. So a block
 keeps its size however large the mixture, and every source stays within less than two blocks of its share
 at every point (less than one in a mixture of one epoch). Documents are placed in blocks by a distributed
 prefix sum.
@@ -46,24 +46,31 @@ def schedule_blocks(blocks: dict[str, int]) -> dict[str, list[int]]:
     return slots
 
 
-def blocks_before(blocks: dict[str, int], slot: int) -> dict[str, int]:
-    """How many blocks of each source stand before a slot at an epoch's border: its share, rounded so that the sum is right."""
-    total = sum(blocks.values())
-    slot = min(slot, total)
-    if not total:
-        return dict(blocks)
-    held = {s: n * slot // total for s, n in blocks.items()}
-    behind = sorted(blocks, key=lambda s: (-(blocks[s] * slot % total), s))
-    for s in behind[:slot - sum(held.values())]:
-        held[s] += 1
-    return held
-
+def epoch_borders(blocks: dict[str, int], slots: int = EPOCH_SLOTS) -> list[dict[str, int]]:
+    """How many blocks of each source stand before each epoch and after the last.
 
-def schedule_epoch(blocks: dict[str, int], epoch: int, slots: int = EPOCH_SLOTS) -> list[tuple[str, int, int]]:
-    """(source, block, slot) of one epoch."""
-    begin, end = blocks_before(blocks, epoch * slots), blocks_before(blocks, (epoch + 1) * slots)
-    own = {s: end[s] - begin[s] for s in blocks if end[s] > begin[s]}
-    return [(s, begin[s] + j, epoch * slots + t) for s, at in schedule_blocks(own).items() for j, t in enumerate(at)]
+    A border holds all blocks whose deadline has passed and what earlier borders held; the slots left go to the
+    released blocks of the earliest deadlines. One small step for every epoch, on the driver.
+    """
+    total = sum(blocks.values())
+    held = dict.fromkeys(blocks, 0)
+    out = [held]
+    while sum(held.values()) < total:
+        slot = min(sum(held.values()) + slots, total)
+        due = {s: max(n * slot // total, held[s]) for s, n in blocks.items()}
+        released = sorted((-(-(due[s] + 1) * total // n), s) for s, n in blocks.items() if due[s] < n and due[s] * total // n < slot)
+        for _, s in released[:max(0, slot - sum(due.values()))]:
+            due[s] += 1
+        held = due
+        out.append(held)
+    return out
+
+
+def schedule_epoch(begin: dict[str, int], end: dict[str, int]) -> list[tuple[str, int, int]]:
+    """(source, block, slot) of the epoch between two borders."""
+    own = {s: end[s] - begin[s] for s in end if end[s] > begin[s]}
+    first = sum(begin.values())
+    return [(s, begin[s] + j, first + t) for s, at in schedule_blocks(own).items() for j, t in enumerate(at)]
 
 
 def quotas(tokens: dict[str, int], targets: list[tuple[str, float, int]]) -> dict[str, tuple[float, float]]:
@@ -100,12 +107,13 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "
     longest = held.agg(F.max("n_tokens")).first()[0] or 0
     block = max(BLOCK_TOKENS, longest)
     blocks = {s: max(1, -(-round(t) // block)) for s, (_, t) in quota.items()}
-    epochs = -(-sum(blocks.values()) // epoch_slots)
+    borders = epoch_borders(blocks, epoch_slots)
+    epochs = len(borders) - 1
 
     def scheduled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for epoch in batch.column(0).to_pylist():
-                rows = schedule_epoch(blocks, epoch, epoch_slots)
+                rows = schedule_epoch(borders[epoch], borders[epoch + 1])
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2)]], names=["source", "block_no", "slot"])
 
     slot_of = scratch.put(spark.range(0, epochs, numPartitions=max(1, min(epochs, parallelism(spark)))).mapInArrow(scheduled, "source string, block_no long, slot long"))
