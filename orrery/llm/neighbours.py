@@ -18,8 +18,9 @@ Every row is indexed; only upper centroids, codebooks and the scan's error bound
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,10 @@ SUBSPACES = 16
 ETA = 4.0
 #: Bytes of vectors that a task of comparisons reads on average, and copies of one vector that a task joins.
 TASK_BYTES, COPIES_PER_TASK = 64 << 20, 100_000
+#: Lists from which on their rows grow instead of their number, and bytes of vectors up to which they do.
+LISTS, LIST_BYTES = 128, 32 << 20
+#: Rows of a list that are asked, encoded or sent on at once, and numbers of either side of exact products.
+CHUNK_ROWS, EXACT_NUMBERS = 8_192, 2 << 20
 
 
 @dataclass
@@ -240,43 +245,79 @@ def top_of_each(who: np.ndarray, other: np.ndarray, cosine: np.ndarray, k: int)
     return order[rank < k]
 
 
-def compare_list(home: np.ndarray, home_ids: np.ndarray, visitors: np.ndarray, visitor_ids: np.ndarray, index: Index,
-                 k: int, least: float, within: float, fine_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Best:
+    """The k entries of greatest cosine of each row among all that were added; holds a small multiple of them."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.size, self.limit = k, [], 0, 1 << 20
+
+    def add(self, who: np.ndarray, other: np.ndarray, cosine: np.ndarray) -> None:
+        if len(who):
+            self.held.append((who, other, cosine))
+            self.size += len(who)
+            if self.size > self.limit:
+                self.held = [self.entries()]
+                self.size = len(self.held[0][0])
+                self.limit = max(1 << 20, 2 * self.size)
+
+    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.held:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        who, other, cosine = (np.concatenate(p) for p in zip(*self.held))
+        at = top_of_each(who, other, cosine, self.k)
+        return who[at], other[at], cosine[at]
+
+
+def rows_of_list(rows: int, list_rows: int, width: int) -> int:
+    """Rows of a list: ``list_rows`` up to LISTS lists, then as many more as keep their number, within LIST_BYTES.
+
+    A vector visits about a thirtieth of all lists, so visits would grow with the lists' number.
+    """
+    return max(list_rows, min(-(-rows // LISTS), LIST_BYTES // (4 * width)))
+
+
+def compare_list(home: np.ndarray, home_ids: np.ndarray, visitors: Iterable[tuple[np.ndarray, np.ndarray]], index: Index,
+                 k: int, least: float, within: float, fine_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(a, b, cosine): for each home row and visitor its k best partners of at least ``least`` here.
 
     Codes are scanned by cells of about ``fine_rows`` rows; a query scans the cells within the margin.
+    Visitors, (vectors, ids) at a time, stream past the home rows: memory holds the list's own rows, one
+    chunk of visitors and the k best of each, whatever the number of visitors or of close pairs.
     """
     cells = kmeans(home, max(1, len(home) // fine_rows), 4)
-    cell_of = (home @ cells.T).argmax(axis=1)
-    codes = encode(home, index.books)
-    x, ids = np.concatenate([home, visitors]), np.concatenate([home_ids, visitor_ids])
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    chunks = [slice(a, a + CHUNK_ROWS) for a in range(0, len(home), CHUNK_ROWS)]
+    cell_of = np.concatenate([(home[c] @ cells.T).argmax(axis=1) for c in chunks])
+    codes = np.concatenate([encode(home[c], index.books) for c in chunks])
     rows_of = [np.nonzero(cell_of == c)[0] for c in range(len(cells))]
-    visits: list[list[np.ndarray]] = [[] for _ in cells]
-    for a in range(0, len(x), 16_384):
-        scores = x[a:a + 16_384] @ cells.T
-        near = scores >= scores.max(axis=1, keepdims=True) - within
-        for c in range(len(cells)):
-            visits[c].append(np.nonzero(near[:, c])[0] + a)
-    for c, rows in enumerate(rows_of):
-        if not len(rows):
-            continue
-        asked = np.concatenate(visits[c])
-        step = max(64, (1 << 22) // len(rows))
-        for a in range(0, len(asked), step):
-            q = asked[a:a + step]
-            i, j = np.nonzero(scan(x[q], codes[rows], index.books) >= least - index.slack)
-            i, j = rows[i], q[j]
-            other = home_ids[i] != ids[j]
-            i, j = i[other], j[other]
-            exact = np.einsum("ij,ij->i", home[i].astype(np.float64), x[j].astype(np.float64))
-            keep = exact >= least
-            out.append((ids[j[keep]], home_ids[i[keep]], exact[keep]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    q, h, cosine = (np.concatenate(p) for p in zip(*out))
-    ask, back = top_of_each(q, h, cosine, k), top_of_each(h, q, cosine, k)
-    return np.concatenate([q[ask], h[back]]), np.concatenate([h[ask], q[back]]), np.concatenate([cosine[ask], cosine[back]])
+    pairs = max(1, EXACT_NUMBERS // home.shape[1])
+    back = Best(k)
+    for source in (((home, home_ids),), visitors):
+        for every, every_id in source:
+            for start in range(0, len(every), CHUNK_ROWS):
+                x, ids = every[start:start + CHUNK_ROWS], every_id[start:start + CHUNK_ROWS]
+                ask = Best(k)
+                scores = x @ cells.T
+                near = scores >= scores.max(axis=1, keepdims=True) - within
+                for c, rows in enumerate(rows_of):
+                    asked = np.nonzero(near[:, c])[0]
+                    if not len(rows) or not len(asked):
+                        continue
+                    step = max(64, (1 << 22) // len(rows))
+                    for a in range(0, len(asked), step):
+                        q = asked[a:a + step]
+                        hits = np.flatnonzero(scan(x[q], codes[rows], index.books) >= least - index.slack)
+                        for b in range(0, len(hits), pairs):
+                            i, j = np.divmod(hits[b:b + pairs], len(q))
+                            i, j = rows[i], q[j]
+                            other = home_ids[i] != ids[j]
+                            i, j = i[other], j[other]
+                            exact = np.einsum("ij,ij->i", home[i].astype(np.float64), x[j].astype(np.float64))
+                            keep = exact >= least
+                            own, theirs, exact = home_ids[i[keep]], ids[j[keep]], exact[keep]
+                            ask.add(theirs, own, exact)
+                            back.add(own, theirs, exact)
+                yield ask.entries()
+    yield back.entries()
 
 
 def similar_pairs(rows: DataFrame, key: str, vector: str, k: int = 10, least: float = 0.90, list_rows: int = 8192,
@@ -288,8 +329,8 @@ def similar_pairs(rows: DataFrame, key: str, vector: str, k: int = 10, least: fl
     each dimension that occurs is a collection of its own. Ties are broken by the smaller row id, exact
     copies included; an empty table gives no pair. ``within`` sets how much farther than the nearest a
     list may be to be visited, ``cell_within`` the same for cells inside a list; a pair is missed only if neither row
-    visits the other's home (59 of 48,350 pairs of 146,595 vectors, by brute force; 206 at a margin of 0.16). A list above twice ``list_rows`` rows is cut into blocks that each
-    of its rows visits.
+    visits the other's home (59 of 48,350 pairs of 146,595 vectors, by brute force; 206 at a margin of 0.16). A list above twice its rows
+    (:func:`rows_of_list`, ``list_rows`` or more) is cut into blocks that each of its rows visits.
     """
     vectors = usable(rows, key, vector)
     found = [_pairs_of(vectors.where(F.size("vec") == dim), dim, k, least, list_rows, within, fine_rows, cell_within) for dim in dimensions(vectors)]
@@ -309,6 +350,7 @@ def _pairs_of(vectors: DataFrame, dim: int, k: int, least: float, list_rows: int
     keys = scratch.put(normalised(vectors, dim))
     reps = scratch.put(fold_copies(keys, k + 1))
     n = reps.count()
+    list_rows = rows_of_list(n, list_rows, width)
     upper = math.ceil(math.sqrt(-(-n // list_rows)))
     sample = reps.select("bytes", "h1").orderBy("h1").limit(min(SAMPLE_ROWS, max(BOOK_ROWS, ROWS_PER_CENTROID * upper))).select("bytes").toArrow()
     fitted = spark.sparkContext.broadcast(fit(_unpack(sample.column(0).combine_chunks(), width), upper))
@@ -373,24 +415,38 @@ def _pairs_of(vectors: DataFrame, dim: int, k: int, least: float, list_rows: int
                     where.append((offset[at][reps_] + inner)[keep])
                     who.append(rr[reps_][keep])
                     query.append(np.ones(int(keep.sum()), bool))
-                w = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(where).astype(np.int32)), pa.array(own[w]), pa.array(np.concatenate(query)), _pack(x[w])],
-                    names=["block", "rep", "visit", "bytes"])
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _unpack(pdf["bytes"], width)
-        visit, ids = pdf["visit"].to_numpy(bool), pdf["rep"].to_numpy()
-        if visit.all():
-            a, b, cosine = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        else:
-            a, b, cosine = compare_list(x[~visit], ids[~visit], x[visit], ids[visit], fitted.value, k, least, cell_within, fine_rows)
-        return pd.DataFrame({"a": a, "b": b, "cosine": cosine})
+                w, at, visits = np.concatenate(who), np.concatenate(where).astype(np.int32), np.concatenate(query)
+                for b in range(0, len(w), CHUNK_ROWS):
+                    c = slice(b, b + CHUNK_ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(at[c]), pa.array(own[w[c]]), pa.array(visits[c]), _pack(x[w[c]])],
+                                                     names=["block", "rep", "visit", "bytes"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+            for batch in batches:
+                visit = batch.column(2).to_numpy(zero_copy_only=False)
+                yield _unpack(batch.column(3), width), batch.column(1).to_numpy(), len(visit) - int(visit.sum())
+
+        own: list[tuple[np.ndarray, np.ndarray]] = []
+        visitors: list[tuple[np.ndarray, np.ndarray]] = []
+        source = read()
+        for x, ids, n in source:  # home rows come first
+            own.append((x[:n], ids[:n]))
+            if n < len(x):
+                visitors.append((x[n:], ids[n:]))
+                break
+        home, home_ids = (np.concatenate(p) for p in zip(*own))
+        own.clear()
+        if len(home):
+            stream = chain(visitors, ((x, ids) for x, ids, _ in source))
+            for a, b, cosine in compare_list(home, home_ids, stream, fitted.value, k, least, cell_within, fine_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cosine)], names=["a", "b", "cosine"])
 
     # partitions by rows, so that a task stays small however large the collection
     tasks = max(parallelism(spark), placed_rows * (4 * width + 40) // TASK_BYTES)
-    placed = reps.select("rep", "bytes").mapInArrow(place, "block int, rep long, visit boolean, bytes binary").repartition(tasks, "block")
-    found = placed.groupBy("block").applyInPandas(compare, "a long, b long, cosine double")
+    placed = reps.select("rep", "bytes").mapInArrow(place, "block int, rep long, visit boolean, bytes binary").repartition(
+        tasks, "block").sortWithinPartitions("block", "visit")
+    found = placed.groupBy("block").applyInArrow(compare, "a long, b long, cosine double")
     both = scratch.put(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
     # the k nearest groups hold the k nearest rows outside the own group
     near = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))).where(f"r <= {k}")
@@ -445,15 +501,22 @@ def _search_of(vectors: DataFrame, dim: int, key: str, asked: DataFrame, k: int,
     queries = stored.join(asked.select(F.col(key).cast("long").alias("row")).distinct(), "row", "left_semi").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).withColumn("asked", F.lit(True))
 
-    def look(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _unpack(pdf["bytes"], width)
-        is_q, ids = pdf["asked"].to_numpy(bool), pdf["row"].to_numpy()
-        base, base_ids, q_all, q_ids = x[~is_q], ids[~is_q], x[is_q], ids[is_q]
-        out = []
-        if len(base) and len(q_all):
-            codes = encode(base, books)
-            most = min(rerank, len(base))
-            for a in range(0, len(q_all), 128):
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        base: np.ndarray | None = None
+        for batch in batches:  # rows of the chunk come first, then the asked ones stream past them
+            is_q, ids, x = batch.column(2).to_numpy(zero_copy_only=False), batch.column(0).to_numpy(), _unpack(batch.column(1), width)
+            n = len(is_q) - int(is_q.sum())
+            held.append((x[:n], ids[:n]))
+            q_all, q_ids = x[n:], ids[n:]
+            if not len(q_all):
+                continue
+            if base is None:
+                base, base_ids = (np.concatenate(p) for p in zip(*held))
+                held.clear()
+                codes = np.concatenate([encode(base[a:a + CHUNK_ROWS], books) for a in range(0, len(base), CHUNK_ROWS)] or [np.zeros((0, SUBSPACES), np.uint8)])
+                most = min(rerank, len(base))
+            for a in range(0, len(q_all) if most else 0, 128):
                 q = q_all[a:a + 128]
                 approx = scan(q, codes, books).T
                 top = np.argpartition(-approx, most - 1, axis=1)[:, :most]
@@ -463,9 +526,10 @@ def _search_of(vectors: DataFrame, dim: int, key: str, asked: DataFrame, k: int,
                 r = np.repeat(np.arange(len(q)), best.shape[1])
                 score = np.take_along_axis(exact, best, axis=1).ravel()
                 keep = score > -5
-                out.append(pd.DataFrame({"query": q_ids[a:a + 128][r][keep], "row": base_ids[np.take_along_axis(top, best, axis=1).ravel()][keep],
-                                         "cosine": score[keep].astype(np.float64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "cosine": pd.Series(dtype="float64")})
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(q_ids[a:a + 128][r][keep]), pa.array(base_ids[np.take_along_axis(top, best, axis=1).ravel()][keep]),
+                    pa.array(score[keep].astype(np.float64))], names=["query", "row", "cosine"])
 
-    local = data.unionByName(queries).repartition(max(parallelism(vectors.sparkSession), chunks), "chunk").groupBy("chunk").applyInPandas(look, "query long, row long, cosine double")
+    local = data.unionByName(queries).select("row", "bytes", "asked", "chunk").repartition(
+        max(parallelism(vectors.sparkSession), chunks), "chunk").sortWithinPartitions("chunk", "asked").groupBy("chunk").applyInArrow(look, "query long, row long, cosine double")
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "row"))).where(f"rank <= {k}")

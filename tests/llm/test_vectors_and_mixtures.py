@@ -1,5 +1,6 @@
 import collections
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -47,6 +48,50 @@ def test_pairs_against_brute_force(spark):
     assert len([p for p in got if p[0] in range(100, 140) and p[1] in range(100, 140)]) <= 40 * 11 and exact
 
 
+def dense_ball(n, seed=6):
+    """Distinct vectors all within the margin of each other."""
+    rng = np.random.default_rng(seed)
+    return neighbours.unit((np.ones(64) + 0.1 * rng.standard_normal((n, 64))).astype(np.float32))
+
+
+def test_memory_of_a_list_does_not_grow_with_visitors_or_pairs():
+    """9 million close pairs of one list: neither they nor 60,000 visitors are held at once."""
+    x = dense_ball(3000)
+    index = neighbours.fit(x, 1)
+    far = neighbours.unit(np.random.default_rng(7).standard_normal((6000, 64)).astype(np.float32))
+
+    def visitors():
+        for k in range(10):
+            yield far.copy(), np.arange(6000) + 10_000 * (k + 1)
+
+    tracemalloc.start()
+    rows = [np.stack([a, b]) for a, b, _ in neighbours.compare_list(x, np.arange(3000), visitors(), index, 10, 0.9, 0.16, 160)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    got = {(min(p), max(p)) for p in np.concatenate(rows, axis=1).T.tolist()}
+    want = brute(x, np.arange(3000))
+    assert len(want - got) <= 0.01 * len(want) and all(b < 3000 for _, b in got)
+
+
+def test_visitors_in_any_portions_give_the_same_pairs():
+    x = neighbours.unit(close_rows(1500, 3).astype(np.float32))
+    index = neighbours.fit(x, 1)
+    ids = np.arange(1500)
+    whole, parts = (set() for _ in range(2))
+    for into, cuts in ((whole, [1500]), (parts, [401, 402, 900, 1500])):
+        stream = [(x[a:b], ids[a:b]) for a, b in zip([400, *cuts], cuts)]
+        for a, b, cosine in neighbours.compare_list(x[:400], ids[:400], stream, index, 3, 0.9, 0.16, 50):
+            into.update(zip(a.tolist(), b.tolist()))
+    assert whole == parts and whole
+
+
+def test_lists_grow_beyond_their_number():
+    """Visits of a vector stay in step with a bounded number of lists until a list fills its bytes."""
+    assert [neighbours.rows_of_list(n, 8192, 64) for n in (0, 150_000, 1 << 20)] == [8192] * 3
+    assert neighbours.rows_of_list(9_150_000, 8192, 64) * 128 >= 9_150_000 and neighbours.rows_of_list(10**9, 8192, 64) == (32 << 20) // 256
+
+
 def test_empty_and_no_vectors(spark):
     df = spark.createDataFrame([(1, None)], "row_id long, embedding array<float>")
     assert neighbours.similar_pairs(df, "row_id", "embedding").count() == 0 and neighbours.similar_pairs(df.limit(0), "row_id", "embedding").count() == 0
