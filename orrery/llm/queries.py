@@ -40,15 +40,15 @@ def _field_names(spark: SparkSession, sf_dir: str) -> list[str]:
 def p5_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every claim with an attribute the entry it means, how it was found, and all near entries."""
     claims, names = table(spark, sf_dir, "claims"), _field_names(spark, sf_dir)
-    return canonical.map_values(claims, "claim_id", "attribute", names, canonical.learned_aliases(claims, "attribute", "canon_field", names))
+    return canonical.map_values(claims, "claim_id", "attribute", names, *canonical.every_alias(claims, "attribute", "canon_field", names))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims whose stored field is no entry of the reference list, with the entry their attribute means."""
     claims, names = table(spark, sf_dir, "claims"), _field_names(spark, sf_dir)
-    aliases = canonical.learned_aliases(claims, "attribute", "canon_field", names)
+    aliases, more = canonical.every_alias(claims, "attribute", "canon_field", names)
     open_claims = claims.where(F.col("canon_field").isNull() | ~F.col("canon_field").isin(names))
-    return canonical.map_values(open_claims, "claim_id", "attribute", names, aliases).select(
+    return canonical.map_values(open_claims, "claim_id", "attribute", names, aliases, more).select(
         "claim_id", F.col("entry").alias("canon_field"))
 
 

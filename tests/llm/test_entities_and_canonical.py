@@ -96,6 +96,31 @@ def test_aliases_are_learned_and_unseen_spellings_still_found(spark):
     assert canonical.learned_aliases(df.limit(0), "attribute", "entry", NAMES) == {}
 
 
+def test_aliases_beyond_the_bound_of_a_trie_are_found_as_in_one(spark, monkeypatch):
+    """Whatever number of paths one trie takes, values come out as with all of them, in parts of any size."""
+    rng = random.Random(8)
+    paths = sorted({" ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6))) for _ in range(rng.randrange(1, 4))) for _ in range(300)} | {"w" * 1500})
+    mapped = [(p, rng.choice(NAMES)) for p in paths for p in [p, p]]
+    learned = {}
+    for p, e in mapped:
+        learned.setdefault(p, e)
+    slips = [p[:k] + rng.choice("abcde") + p[k + 1:] for p in paths for k in [rng.randrange(len(p))]] + [p[1:] for p in paths] + [p.replace(" ", "") for p in paths]
+    rows = [(i, p, learned[p]) for i, (p, _) in enumerate(mapped)] + [(10_000 + i, v, None) for i, v in enumerate([*slips, "the length", "lenght", "!", " ", None, "x" * 5000])]
+    df = spark.createDataFrame(rows, "id long, attribute string, entry string")
+    kept = lambda found: sorted(map(tuple, found.collect()))
+    every, none_left = canonical.every_alias(df, "attribute", "entry", NAMES)
+    assert none_left is None and every == canonical.learned_aliases(df, "attribute", "entry", NAMES)
+    want = kept(canonical.map_values(df, "id", "attribute", NAMES, every))
+    assert sum(r[3] == "alias" for r in want) > 600 and sum(r[3] in ("fuzzy", "ambiguous") for r in want) > 100
+    for letters in (canonical.PART_PATHS, 400):
+        monkeypatch.setattr(canonical, "PART_PATHS", letters)
+        monkeypatch.setattr(canonical, "PART_WORDS", 3 * letters)
+        first, more = canonical.every_alias(df, "attribute", "entry", NAMES, per_entry=7)
+        assert max(map(len, first.values())) == 7 and more.count() == len(paths) - sum(map(len, first.values()))
+        assert kept(canonical.map_values(df, "id", "attribute", NAMES, first)) != want
+        assert kept(canonical.map_values(df, "id", "attribute", NAMES, first, more)) == want
+
+
 def test_mapping_rows(spark):
     df = spark.createDataFrame([(1, "length", "e"), (1, "length", "e"), (2, " ", "e"), (3, None, "e"), (4, "motto", "e")], "id long, attribute string, entry string")
     got = {r.id: (r.entry, r.status) for r in canonical.map_values(df, "id", "attribute", NAMES).collect()}
